@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxframe.llm import common, packing, token_store
+from voxframe.llm import common, packing, piece_encode, quality, token_store
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,14 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.digests(spark, path)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(common.documents(spark, sf_dir))
+
+
+def op8_piece_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_encode.digests(common.documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1))
 
@@ -23,9 +31,11 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_store": op3_token_store,
+        "op7_quality_rules": op7_quality_rules,
+        "op8_piece_encode": op8_piece_encode,
         "op9_best_fit_packing": op9_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_quality_rules": quality.ORACLE}
