@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxframe.llm import common, packing, piece_encode, quality, token_store
+from voxframe.llm import common, minhash, packing, piece_encode, quality, token_store
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.digests(spark, path)
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(common.documents(spark, sf_dir), percent=85)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(common.documents(spark, sf_dir))
 
@@ -31,6 +35,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_store": op3_token_store,
+        "op4_minhash_dedup": op4_minhash_dedup,
         "op7_quality_rules": op7_quality_rules,
         "op8_piece_encode": op8_piece_encode,
         "op9_best_fit_packing": op9_best_fit_packing,
