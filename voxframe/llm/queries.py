@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxframe.llm import common, minhash, packing, piece_encode, quality, suffix_dedup, token_store
+from voxframe.llm import common, media, minhash, packing, piece_encode, quality, suffix_dedup, token_store
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(common.documents(spark, sf_dir), percent=85)
 
 
+def op5_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(common.written(media.media_table(common.documents(spark, sf_dir)), "media"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(common.documents(spark, sf_dir))
 
@@ -41,6 +45,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_suffix_dedup": op2_suffix_dedup,
         "op3_token_store": op3_token_store,
         "op4_minhash_dedup": op4_minhash_dedup,
+        "op5_jpeg_media": op5_jpeg_media,
         "op7_quality_rules": op7_quality_rules,
         "op8_piece_encode": op8_piece_encode,
         "op9_best_fit_packing": op9_best_fit_packing,
