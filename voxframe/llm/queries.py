@@ -7,7 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxframe.llm import common, media, minhash, packing, piece_encode, quality, suffix_dedup, token_store
+from voxframe.llm import common, html_extract, langid, media, minhash, packing, piece_encode, quality, suffix_dedup, token_store
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(common.documents(spark, sf_dir, "doc_id", "text", "lang"))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +44,13 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1))
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
         "op2_suffix_dedup": op2_suffix_dedup,
         "op3_token_store": op3_token_store,
         "op4_minhash_dedup": op4_minhash_dedup,
@@ -49,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality_rules": op7_quality_rules,
         "op8_piece_encode": op8_piece_encode,
         "op9_best_fit_packing": op9_best_fit_packing,
+        "op10_html_extract": op10_html_extract,
     }
 
 

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from voxframe.llm import common
 from voxframe.llm.shingles import mixed
@@ -342,7 +342,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
             yield pa.record_batch([*[block.column(c) for c in kept], *columns], names=[*kept, *new])
 
-    schema = docs.schema
+    schema = T.StructType(list(docs.schema.fields))
     for name, kind in zip(new, ("string", "long", "long", "long", "string"), strict=True):
         schema = schema.add(name, kind)
     return common.map_arrow(joined.select(*kept, "_copies", "_ranges"), cleaned, schema)
