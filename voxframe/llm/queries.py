@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxframe.llm import common, html_extract, langid, media, minhash, packing, piece_encode, quality, suffix_dedup, token_store
+from voxframe.llm import common, html_extract, langid, lm_score, media, minhash, packing, piece_encode, quality, suffix_dedup, token_store
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op5_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(common.written(media.media_table(common.documents(spark, sf_dir)), "media"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(common.documents(spark, sf_dir))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(common.documents(spark, sf_dir))
 
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_store": op3_token_store,
         "op4_minhash_dedup": op4_minhash_dedup,
         "op5_jpeg_media": op5_jpeg_media,
+        "op6_lm_score": op6_lm_score,
         "op7_quality_rules": op7_quality_rules,
         "op8_piece_encode": op8_piece_encode,
         "op9_best_fit_packing": op9_best_fit_packing,
