@@ -21,7 +21,7 @@ from voxframe.llm import common
 from voxframe.llm.shingles import word_hashes
 
 HEAD_SHARE, GRAM_SHARE, DISCOUNT = 1e-4, 1e-6, 0.5
-PACK_BYTES = 12 << 20
+PACK_BYTES = 8 << 20
 END = np.uint64(0x5EED0F7E47)
 
 
