@@ -1,4 +1,7 @@
-"""Registered queries of the volume operators and their DuckDB equivalents."""
+"""Registered queries of the volume operators and their DuckDB equivalents.
+
+Each row of ``embeddings`` is read as a 4 x 4 x 4 volume, axis 0 fastest, spacing (1, 1, 2.5).
+"""
 
 from __future__ import annotations
 
@@ -6,20 +9,202 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from voxframe.operators import augment, grid, intensity, sampling
+from voxframe.plans.pipeline import TransformPipeline
+from voxframe.sources import nifti
+
+SHAPE, SPACING, SEED = [4, 4, 4], [1.0, 1.0, 2.5], 42
+SHIFTED = [[0.8, 0.1, 0.0, 0.3], [0.0, 0.9, 0.0, 0.2], [0.0, 0.0, 1.0, -0.5]]
+
+
+def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, label, shape and data of every row of ``embeddings``."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return rows.select("vec_id", "label", F.array(*map(F.lit, SHAPE)).alias("shape"), F.col("embedding").cast("array<double>").alias("data"))
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Voxel statistics of each volume."""
-    return queries()["volume_stats"](spark, sf_dir)
+    """Normalise, clamp and resample all volumes."""
+    return queries()["pipeline_znorm_clamp_resample"](spark, sf_dir)
+
+
+def flat(df: DataFrame) -> DataFrame:
+    return df.select("vec_id", F.posexplode("data").alias("i", "v")).select("vec_id", "i", F.round("v", 4).alias("v"))
+
+
+QUERIES: dict[str, Callable[[DataFrame], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+VOXELS = "WITH v AS (SELECT vec_id, label, generate_subscripts(embedding, 1)::INT - 1 AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), c AS (SELECT *, i % 4 AS x, (i // 4) % 4 AS y, i // 16 AS z FROM v) "
+STATS = VOXELS + ", s AS (SELECT vec_id, avg(v) AS m, CASE WHEN avg(v * v) - avg(v) * avg(v) > 0 THEN sqrt(avg(v * v) - avg(v) * avg(v)) ELSE 1 END AS sd, min(v) AS lo, max(v) AS hi, count(*) AS n FROM v GROUP BY vec_id) "
+FROM_STATS = " FROM c JOIN s USING (vec_id)"
+
+
+def add(name: str, query: Callable[[DataFrame], DataFrame], sql: str | None) -> None:
+    QUERIES[name] = query
+    if sql:
+        ORACLES[name] = sql
+
+
+def voxelwise(name: str, query: Callable[[DataFrame], DataFrame], value: str) -> None:
+    add(name, lambda df: flat(query(df)), f"{STATS} SELECT vec_id, i, round({value}, 4) AS v{FROM_STATS}")
+
+
+def remapped(name: str, query: Callable[[DataFrame], DataFrame], size: tuple[int, int, int], value: str) -> None:
+    """``value`` is SQL over e (the 64 values, first at 1) and the output place x, y, z."""
+    nx, ny, nz = size
+    sql = f"SELECT vec_id, o::INT AS i, round({value}, 4) AS v FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e, o, (o % {nx})::INT AS x, ((o // {nx}) % {ny})::INT AS y, (o // {nx * ny})::INT AS z FROM embeddings, range({nx * ny * nz}) t(o))"
+    add(name, lambda df: flat(query(df)), sql)
+
+
+def at(x: str, y: str, z: str) -> str:
+    return f"e[(1 + ({x}) + 4 * ({y}) + 16 * ({z}))::INT]"
+
+
+def inside(x: str, y: str, z: str) -> str:
+    return f"CASE WHEN ({x}) BETWEEN 0 AND 3 AND ({y}) BETWEEN 0 AND 3 AND ({z}) BETWEEN 0 AND 3 THEN {at(x, y, z)} ELSE 0.0 END"
+
+
+def blended(px: str, py: str, pz: str) -> str:
+    """Trilinear mean around a fractional place."""
+    out = []
+    for cx in (0, 1):
+        for cy in (0, 1):
+            for cz in (0, 1):
+                w = " * ".join(f"({p} - floor({p}))" if c else f"(1 - ({p} - floor({p})))" for p, c in ((px, cx), (py, cy), (pz, cz)))
+                out.append(w + " * " + at(*[f"least(floor({p}) + {c}, 3)" for p, c in ((px, cx), (py, cy), (pz, cz))]))
+    return "(" + " + ".join(out) + ")"
+
+
+def u(*keys: str) -> str:
+    """The hashed uniform of quoted or column keys."""
+    return f"(('0x' || substr(md5(concat_ws(':', {', '.join(keys)})), 1, 8))::BIGINT / 4294967296.0)"
+
+
+SEED_KEY = f"'{SEED}'"
+
+add("volume_info", lambda df: df.select("vec_id", F.size("data").alias("n"), (F.lit(SPACING[0] * SPACING[1] * SPACING[2]) * F.size("data")).alias("volume")), "SELECT vec_id, len(embedding)::INT AS n, 2.5::DOUBLE * len(embedding) AS volume FROM embeddings")
+add("volume_stats", lambda df: intensity.statistics(df).select("vec_id", "n", *[F.round(c, 4).alias(c) for c in ("v_min", "v_max", "v_mean", "v_std")]), f"{STATS} SELECT vec_id, n, round(lo, 4) AS v_min, round(hi, 4) AS v_max, round(m, 4) AS v_mean, round(sd, 4) AS v_std FROM s")
+voxelwise("scale_slope_inter", lambda df: intensity.linear(df, 2.0, 10.0), "v * 2 + 10")
+add("cast_uint8", lambda df: df.transform(lambda d: intensity.to_integer(intensity.linear(d, 400.0, 100.0), 0, 255)).select("vec_id", F.posexplode("data").alias("i", "v")), VOXELS + "SELECT vec_id, i, least(greatest(round(v * 400 + 100), 0), 255)::BIGINT AS v FROM c")
+add("cast_int16", lambda df: intensity.to_integer(intensity.linear(df, 1e5, 0.0), -32768, 32767).select("vec_id", F.posexplode("data").alias("i", "v")), VOXELS + "SELECT vec_id, i, least(greatest(round(v * 100000.0::DOUBLE), -32768), 32767)::BIGINT AS v FROM c")
+voxelwise("z_normalize", intensity.z_normalize, "(v - m) / sd")
+voxelwise("rescale", lambda df: intensity.rescale(df, -1.0, 1.0), "(v - lo) / (hi - lo) * 2 - 1")
+voxelwise("rescale_constant", lambda df: intensity.rescale(intensity.clamp(df, 5.0, 5.0), 0.25, 1.0), "0.25::DOUBLE")
+voxelwise("clamp", lambda df: intensity.clamp(df, -0.1, 0.1), "least(greatest(v, -0.1::DOUBLE), 0.1::DOUBLE)")
+voxelwise("linear", lambda df: intensity.linear(df, -3.0, 0.5), "v * -3 + 0.5::DOUBLE")
+voxelwise("pipeline_fused_intensity", lambda df: TransformPipeline().z_normalize().clamp(-2.0, 2.0).linear(0.25, 0.5).apply(df), "least(greatest((v - m) / sd, -2), 2) * 0.25::DOUBLE + 0.5::DOUBLE")
+remapped("flip_x", lambda df: grid.flip(df, [0]), (4, 4, 4), at("3 - x", "y", "z"))
+remapped("flip_xyz", lambda df: grid.flip(df, [0, 1, 2]), (4, 4, 4), at("3 - x", "3 - y", "3 - z"))
+remapped("rotate90_k1", lambda df: grid.rotate_90(df, 1), (4, 4, 4), at("3 - y", "x", "z"))
+remapped("rotate90_k2", lambda df: grid.rotate_90(df, 2), (4, 4, 4), at("3 - x", "3 - y", "z"))
+remapped("reorient_lps", lambda df: grid.reorient(df, "RAS", "LPS"), (4, 4, 4), at("3 - x", "3 - y", "z"))
+remapped("reorient_permuted", lambda df: grid.reorient(df, "RAS", "SLA"), (4, 4, 4), at("3 - y", "z", "x"))
+remapped("crop_box", lambda df: grid.crop(df, [1, 0, 2], [3, 3, 9]), (2, 3, 2), at("x + 1", "y", "z + 2"))
+remapped("center_crop", lambda df: grid.center_crop(df, [2, 3, 2]), (2, 3, 2), at("x + 1", "y", "z + 1"))
+remapped("crop_or_pad_crop", lambda df: grid.crop_or_pad(df, [2, 2, 3]), (2, 2, 3), at("x + 1", "y + 1", "z"))
+remapped("crop_or_pad_pad", lambda df: grid.crop_or_pad(df, [6, 5, 4]), (6, 5, 4), inside("x - 1", "y", "z"))
+remapped("crop_or_pad_mixed", lambda df: grid.crop_or_pad(df, [2, 7, 4]), (2, 7, 4), inside("x + 1", "y - 1", "z"))
+remapped("resample_shape_up", lambda df: grid.resample_trilinear(df, [6, 5, 7]), (6, 5, 7), blended("(x * 3 / 5.0::DOUBLE)", "(y * 3 / 4.0::DOUBLE)", "(z * 3 / 6.0::DOUBLE)"))
+remapped("resample_shape_down", lambda df: grid.resample_trilinear(df, [3, 2, 1]), (3, 2, 1), blended("(x * 3 / 2.0::DOUBLE)", "(y * 3 / 1.0::DOUBLE)", "(z * 0.0::DOUBLE)"))
+remapped("resample_nearest", lambda df: grid.resample_nearest(df, [6, 3, 5]), (6, 3, 5), at("least(floor((x + 0.5) * 4 / 6), 3)", "least(floor((y + 0.5) * 4 / 3), 3)", "least(floor((z + 0.5) * 4 / 5), 3)"))
+remapped("resample_spacing", lambda df: TransformPipeline().resample_to_spacing(SHAPE, SPACING, [1.0, 2.0, 1.0]).apply(df), (4, 2, 10), blended("(x * 3 / 3.0::DOUBLE)", "(y * 3 / 1.0::DOUBLE)", "(z * 3 / 9.0::DOUBLE)"))
+PLACE = [f"({' + '.join(f'{a} * {m}::DOUBLE' for a, m in zip('xyz', row, strict=False))} + {row[3]}::DOUBLE)" for row in SHIFTED]
+remapped("apply_affine_trilinear", lambda df: grid.apply_affine(df, SHIFTED), (4, 4, 4), "CASE WHEN " + " AND ".join(f"{p} >= 0 AND {p} <= 3" for p in PLACE) + f" THEN {blended(*PLACE)} ELSE 0.0 END")
+add(
+    "pipeline_znorm_clamp_resample",
+    lambda df: flat(TransformPipeline().z_normalize().clamp(-2.0, 2.0).resample_to_shape([6, 6, 6]).apply(df)),
+    f"{STATS}, n AS (SELECT vec_id, list(least(greatest((v - m) / sd, -2), 2) ORDER BY i) AS e{FROM_STATS} GROUP BY vec_id) SELECT vec_id, o::INT AS i, round({blended('(x * 3 / 5.0::DOUBLE)', '(y * 3 / 5.0::DOUBLE)', '(z * 3 / 5.0::DOUBLE)')}, 4) AS v FROM (SELECT vec_id, e, o, o % 6 AS x, (o // 6) % 6 AS y, o // 36 AS z FROM n, range(216) t(o))",
+)
+add(
+    "foreground_bbox",
+    lambda df: sampling.foreground_box(df, 0.2, 1, 0.02),
+    VOXELS + "SELECT vec_id, count(*) AS n, greatest(min(x) - 1, 0) AS x0, greatest(min(y) - 1, 0) AS y0, greatest(min(z) - 1, 0) AS z0, least(max(x) + 2, 4) AS x1, least(max(y) + 2, 4) AS y1, least(max(z) + 2, 4) AS z1 FROM c WHERE v > 0.2::DOUBLE GROUP BY vec_id HAVING count(*) >= 1.28",
+)
+add("label_voxel_counts", lambda df: df.select("vec_id", F.size(F.filter("data", lambda v: v > 0.1)).cast("long").alias("positive"), F.size(F.filter("data", lambda v: v <= 0.1)).cast("long").alias("negative")), VOXELS + "SELECT vec_id, count(*) FILTER (v > 0.1::DOUBLE) AS positive, count(*) FILTER (v <= 0.1::DOUBLE) AS negative FROM c GROUP BY vec_id")
+add(
+    "label_aware_regions",
+    lambda df: sampling.label_aware_centres(df, 0.1, 3, 2, SEED),
+    VOXELS + f", r AS (SELECT vec_id, v > 0.1::DOUBLE AS positive, i, row_number() OVER (PARTITION BY vec_id, v > 0.1::DOUBLE ORDER BY {u(SEED_KEY, chr(39) + 'label' + chr(39), 'vec_id', 'i')}, i)::INT AS k FROM c) SELECT vec_id, positive, k, i FROM r WHERE k <= CASE WHEN positive THEN 3 ELSE 2 END",
+)
+add(
+    "random_regions",
+    lambda df: sampling.random_starts(df, [2, 3, 4], 4, SEED),
+    "SELECT vec_id, k::INT AS k, " + ", ".join(f"floor({u(SEED_KEY, chr(39) + 'box' + chr(39), 'vec_id', 'k', chr(39) + str(a) + chr(39))} * {4 - s + 1})::INT AS {c}0" for a, (c, s) in enumerate(zip("xyz", (2, 3, 4), strict=True))) + " FROM embeddings, range(4) t(k)",
+)
+add("grid_patches", lambda df: sampling.grid_starts(df, [2, 3, 2], 1), "SELECT vec_id, x0::INT AS x0, y0::INT AS y0, z0::INT AS z0 FROM embeddings, range(0, 3, 1) a(x0), range(0, 2, 2) b(y0), range(0, 3, 1) d(z0)")
+add("patch_means", lambda df: sampling.patch_means(df, [2, 2, 2]).withColumn("mean", F.round("mean", 4)), VOXELS + "SELECT vec_id, (x // 2 * 2)::INT AS x0, (y // 2 * 2)::INT AS y0, (z // 2 * 2)::INT AS z0, round(avg(v), 4) AS mean FROM c GROUP BY ALL")
+TURN = {k: u(SEED_KEY, "'flip'", "vec_id", f"'{k}'") + " < 0.5" for k in range(3)}
+remapped("random_flip", lambda df: augment.random_flip(df, SEED), (4, 4, 4), at(*[f"CASE WHEN {TURN[k]} THEN 3 - {c} ELSE {c} END" for k, c in enumerate("xyz")]))
+NOISE = f"sqrt(-2 * ln(greatest({u(SEED_KEY, chr(39) + 'noise' + chr(39), 'vec_id', 'i', chr(39) + '1' + chr(39))}, 1e-10))) * cos({u(SEED_KEY, chr(39) + 'noise' + chr(39), 'vec_id', 'i', chr(39) + '2' + chr(39))} * 2 * pi())"
+voxelwise("gaussian_noise", lambda df: augment.gaussian_noise(df, SEED), f"v + {NOISE} * 0.1::DOUBLE")
+SCALE, SHIFT = (f"({u(SEED_KEY, chr(39) + k + chr(39), 'vec_id')} * 0.2::DOUBLE - 0.1::DOUBLE)" for k in ("scale", "shift"))
+voxelwise("intensity_scale", lambda df: augment.intensity_scale(df, SEED), f"v * (1 + {SCALE})")
+voxelwise("intensity_shift", lambda df: augment.intensity_shift(df, SEED), f"v + {SHIFT}")
+voxelwise("random_gamma", lambda df: augment.random_gamma(df, SEED), f"pow(greatest(v, 0), {u(SEED_KEY, chr(39) + 'gamma' + chr(39), 'vec_id')} * 0.8::DOUBLE + 0.7::DOUBLE)")
+remapped("random_augment", lambda df: augment.random_augment(df, SEED), (4, 4, 4), f"{at(*[f'CASE WHEN {TURN[k]} THEN 3 - {c} ELSE {c} END' for k, c in enumerate('xyz')])} * (1 + {SCALE}) + {SHIFT} + {NOISE.replace(', i, ', ', o, ')} * 0.05::DOUBLE")
+
+
+def epoch_shuffle(df: DataFrame) -> DataFrame:
+    return sampling.epoch(df, SEED, 0)
+
+
+PLACED = f"SELECT vec_id, row_number() OVER (ORDER BY {u(SEED_KEY, chr(39) + 'epoch' + chr(39), chr(39) + '0' + chr(39), 'vec_id')}, vec_id) - 1 AS place FROM embeddings"
+add("epoch_shuffle", epoch_shuffle, PLACED)
+add("batches", lambda df: sampling.batches(epoch_shuffle(df), 32), f"SELECT vec_id, place // 32 AS batch, place % 32 AS slot FROM ({PLACED})")
+
+
+def pairs(df: DataFrame) -> DataFrame:
+    """Two volumes of one subject: an image and its label, by subject = vec_id div 2."""
+    keyed = df.withColumn("subject", F.floor(F.col("vec_id") / 2))
+    image = keyed.where(F.col("vec_id") % 2 == 0).select("subject", F.col("data").alias("image"))
+    label = keyed.where(F.col("vec_id") % 2 == 1).select("subject", F.col("data").alias("label"))
+    return image.join(label, "subject").select("subject", F.posexplode(F.arrays_zip("image", "label")).alias("i", "p")).select("subject", "i", F.round("p.image", 4).alias("image"), (F.col("p.label") > 0.1).alias("label"))
+
+
+add("image_label_pair", pairs, VOXELS + "SELECT a.vec_id // 2 AS subject, a.i, round(a.v, 4) AS image, b.v > 0.1::DOUBLE AS label FROM c a JOIN c b ON b.vec_id = a.vec_id + 1 AND a.i = b.i WHERE a.vec_id % 2 = 0")
+add(
+    "affine_point",
+    lambda df: df.select("vec_id", *[F.round(F.get("data", 0) * r[0] + F.get("data", 1) * r[1] + F.get("data", 2) * r[2] + r[3], 4).alias(c) for c, r in zip("xyz", SHIFTED, strict=True)]),
+    "SELECT vec_id, " + ", ".join(f"round(embedding[1]::DOUBLE * {r[0]}::DOUBLE + embedding[2]::DOUBLE * {r[1]}::DOUBLE + embedding[3]::DOUBLE * {r[2]}::DOUBLE + {r[3]}::DOUBLE, 4) AS {c}" for c, r in zip("xyz", SHIFTED, strict=True)) + " FROM embeddings",
+)
+IDENTITY = VOXELS + "SELECT vec_id, i, v FROM c"
+
+
+def roundtrip(df: DataFrame, **how: object) -> DataFrame:
+    """Volumes written as NIfTI bytes and parsed again."""
+    files = nifti.encoded(df, **how).select(F.col("vec_id").cast("string").alias("path"), "content")
+    return nifti.decoded(files).select(F.col("path").cast("long").alias("vec_id"), F.posexplode("data").alias("i", "v"))
+
+
+add("nifti_roundtrip", lambda df: roundtrip(df, version=2), IDENTITY)
+add("mgzip_roundtrip", lambda df: roundtrip(df, compressed=True), IDENTITY)
+add("cast_float16", lambda df: roundtrip(df, dtype="float16"), None)
+add("cast_bfloat16", lambda df: roundtrip(df, dtype="bfloat16"), None)
+add(
+    "header_parse",
+    lambda df: nifti.decoded(nifti.encoded(df).select(F.col("vec_id").cast("string").alias("path"), "content")).select(F.col("path").cast("long").alias("vec_id"), "version", "dtype", F.size("shape").alias("ndim"), F.aggregate("shape", F.lit(1), lambda a, d: a * d).alias("n")),
+    "SELECT vec_id, 1::INT AS version, 'float32' AS dtype, 3::INT AS ndim, 64::INT AS n FROM embeddings",
+)
+add("load_cropped", lambda df: nifti.decoded(nifti.encoded(df).select(F.col("vec_id").cast("string").alias("path"), "content"), ([1, 0, 2], [3, 3, 4])).select(F.col("path").cast("long").alias("vec_id"), F.posexplode("data").alias("i", "v")), "SELECT vec_id, o::INT AS i, embedding[(2 + o % 2 + 4 * ((o // 2) % 3) + 16 * (2 + o // 6))::INT]::DOUBLE AS v FROM embeddings, range(12) t(o)")
+
+
+def profiler_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count, total, mean, extremes and share of time of each operation."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.min("value").alias("least"), F.max("value").alias("most"))
+    whole = e.agg(F.sum("total").alias("whole"))
+    return e.crossJoin(F.broadcast(whole)).select("event_type", "n", F.round("total", 2).alias("total"), F.round(F.col("total") / F.col("n"), 4).alias("mean"), F.round("least", 4).alias("least"), F.round("most", 4).alias("most"), F.round(100 * F.col("total") / F.col("whole"), 3).alias("percent"))
+
+
+PROFILER = "WITH e AS (SELECT event_type, count(*) AS n, sum(value) AS total, min(value) AS least, max(value) AS most FROM events GROUP BY 1) SELECT event_type, n, round(total, 2) AS total, round(total / n, 4) AS mean, round(least, 4) AS least, round(most, 4) AS most, round(100 * total / sum(total) OVER (), 3) AS percent FROM e"
 
 
-def _volume_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    return v.select("vec_id", F.array_min("embedding").alias("v_min"), F.array_max("embedding").alias("v_max"), F.size("embedding").alias("n"))
+def _over_volumes(query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: query(volumes(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"volume_stats": _volume_stats}
+    return {name: _over_volumes(q) for name, q in QUERIES.items()} | {"profiler_summary": profiler_summary}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"volume_stats": "SELECT vec_id, list_min(embedding) AS v_min, list_max(embedding) AS v_max, len(embedding)::INT AS n FROM embeddings"}
+    return ORACLES | {"profiler_summary": PROFILER}
