@@ -26,7 +26,7 @@ from voxframe.llm.shingles import mixed
 
 LENGTH, GRAM = 200, 32
 #: Bytes of contexts in a shard, contexts of one anchor in a shard, digests in a merge bucket.
-SHARD_BYTES, ANCHOR_CONTEXTS, MERGE_ROWS = 3 << 20, 3000, 200_000
+SHARD_BYTES, ANCHOR_CONTEXTS, MERGE_ROWS = 3 << 18, 2000, 200_000
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
