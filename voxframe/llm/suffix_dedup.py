@@ -259,7 +259,11 @@ def _shard(length: int):
 
 
 def _merged(table: pa.Table) -> pa.Table:
-    """Open starts whose digest another row of the bucket has, found by binary search in the sorted digests."""
+    """Open starts whose digest another start of the bucket has, found by binary search in the sorted digests.
+
+    A start that several contexts hold counts once; a marker stands for starts that repeat anyway.
+    """
+    table = table.group_by(["d1", "d2", "uid", "lo"]).aggregate([])
     keys = np.empty(table.num_rows, [("a", np.int64), ("b", np.int64)])
     keys["a"], keys["b"] = table.column("d1").to_numpy(), table.column("d2").to_numpy()
     line = np.sort(keys, order=["a", "b"])
@@ -268,7 +272,9 @@ def _merged(table: pa.Table) -> pa.Table:
     last = np.searchsorted(line[:, 0], keys["a"], "right")
     several = np.flatnonzero(last - first > 1)
     hit = [i for i in several.tolist() if np.count_nonzero(line[first[i] : last[i], 1] == keys["b"][i]) > 1]
-    return table.take(pa.array(hit, pa.int64())).filter(pc.is_valid(table.column("uid").take(pa.array(hit, pa.int64())))).select(["uid", "lo", "hi"])
+    found = table.select(["uid", "lo"]).take(pa.array(hit, pa.int64()))
+    found = found.filter(pc.is_valid(found.column("uid")))
+    return found.append_column("hi", pc.add(found.column("lo"), 1))
 
 
 def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
