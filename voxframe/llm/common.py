@@ -27,14 +27,41 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, **options: object) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again: a cut of the lineage that survives lost executors."""
+def saved(df: DataFrame, path: str, **options: object) -> DataFrame:
+    """``df`` written as Parquet to ``path`` and read again: a cut of the lineage that survives lost executors.
+
+    What was shuffled to make it is of no more use; collecting the driver's garbage lets Spark delete those files.
+    """
     spark = df.sparkSession
-    path = work_path(spark, name)
     df.write.options(**options).parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, name: str, **options: object) -> DataFrame:
+    """``saved`` in a new folder of the shared one."""
+    return saved(df, work_path(df.sparkSession, name), **options)
+
+
+def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """``df`` as a table in the shared folder, dealt to as many buckets as shuffles have partitions.
+
+    Later joins on ``column`` move the other side only. The name in the catalogue is a new one.
+    """
+    spark = df.sparkSession
+    path = work_path(spark, name)
+    table = path.rpartition("/")[2].replace("-", "_")
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", path).option("compression", "zstd").saveAsTable(table)
+    spark.sparkContext._jvm.System.gc()
+    return spark.table(table)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder whose rows have been carried over to another table."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches by rows and bytes, so that very long texts don't pile up in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

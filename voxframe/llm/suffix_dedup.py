@@ -2,8 +2,9 @@
 
 A byte is removed if a string of ``length`` bytes that covers it also starts anywhere else.
 
-Equal texts are one text. In each text the least hash of the 32-byte grams of every ``length``-byte
-string is an anchor, so two equal strings hold equal anchors at equal places. A string can only repeat where
+Equal texts are one text. In every ``length``-byte string one gram of somewhat over half the length is its
+anchor: the place of the least hash of much shorter grams, modulo the number of places that an anchor can
+take. So two equal strings hold equal anchors at equal places, and only one byte in fifty starts an anchor. A string can only repeat where
 its anchor does; the context of such an anchor, all strings that hold it, goes to the shard of the anchor.
 Equal contexts repeat as a whole. Each shard sorts the suffixes of its distinct contexts
 (Larsson-Sadakane refinement), takes common prefixes (Kasai) and so finds strings that occur twice. An
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from voxframe.llm import common
 from voxframe.llm.shingles import mixed
 
-LENGTH, GRAM = 200, 32
+LENGTH = 200
 #: Bytes of contexts in a shard, contexts of one anchor in a shard, digests in a merge bucket.
 SHARD_BYTES, ANCHOR_CONTEXTS, MERGE_ROWS = 3 << 18, 2000, 200_000
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
@@ -65,15 +66,29 @@ def sliding(values: np.ndarray, w: int, least: bool) -> np.ndarray:
     return op(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def anchors(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the grams that are least in some ``length``-byte string."""
-    if raw.size < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    hashes, w = gram_hashes(raw, gram), length - gram + 1
-    least = sliding(hashes, w, True)
-    padded = np.concatenate([np.zeros(w - 1, np.uint64), least, np.zeros(w - 1, np.uint64)])
-    places = np.flatnonzero(hashes == sliding(padded, w, False))
-    return places, hashes[places]
+def gram_sizes(length: int) -> tuple[int, int]:
+    """Bytes of an anchor, and of the short grams that choose it, for strings of ``length`` bytes."""
+    gram = max(1, length * 29 // 50)
+    least = min(8, gram)
+    return gram, least + (gram - least) % (length - gram + 1)
+
+
+def anchors(raw: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Places of the anchors of all ``length``-byte strings.
+
+    The first of equal short hashes counts, so an anchor's place in its string depends on the string alone.
+    """
+    n = raw.size - length + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    gram, short = gram_sizes(length)
+    hashes = gram_hashes(raw, short)
+    keys = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(hashes.size, dtype=np.uint64)
+    least = sliding(keys, length - short + 1, True) & np.uint64(0xFFFFFFFF)
+    start = np.arange(n)
+    chosen = np.zeros(raw.size, bool)
+    chosen[start + (least.astype(np.int64) - start) % (length - gram + 1)] = True
+    return np.flatnonzero(chosen)
 
 
 def suffix_array(text: np.ndarray, stop: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -172,18 +187,20 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
     """(fp, whole, uid, pos) of each anchor; whole: a hash of its context and place in it."""
+    gram, _ = gram_sizes(length)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches, limit=2 << 20):
             uid, fp, whole, pos = [], [], [], []
             for name, text in zip(block.column("uid").to_pylist(), common.texts_of(block), strict=True):
                 raw = np.frombuffer(text.encode(), np.uint8)
-                places, hashes = anchors(raw, length)
+                places = anchors(raw, length)
                 if not places.size:
                     continue
                 up, down = _powers(raw.size + 1, 0)
                 sums = np.concatenate([[np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: raw.size])])
-                lo, hi = np.maximum(places - (length - GRAM), 0), np.minimum(places + length, raw.size)
+                hashes = mixed((sums[places + gram] - sums[places]) * down[places])
+                lo, hi = np.maximum(places - (length - gram), 0), np.minimum(places + length, raw.size)
                 context = mixed((sums[hi] - sums[lo]) * down[lo]) ^ mixed((places - lo).astype(np.uint64) * np.uint64(1 << 20) + (hi - lo).astype(np.uint64))
                 uid += [name] * places.size
                 fp.append(hashes)
@@ -197,6 +214,7 @@ def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
 
 def _contexts(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The context bytes of wanted anchors (uid, fp, pos, multi, parts)."""
+    before = length - gram_sizes(length)[0]
     listed = wanted.groupBy("uid").agg(F.collect_list(F.struct("pos", "fp", "multi", "parts", "whole")).alias("list"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +223,7 @@ def _contexts(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             for name, text, items in zip(block.column("uid").to_pylist(), common.texts_of(block), block.column("list").to_pylist(), strict=True):
                 raw = text.encode()
                 for x in items:
-                    lo = max(0, x["pos"] - (length - GRAM))
+                    lo = max(0, x["pos"] - before)
                     out.append((x["fp"], x["whole"], name, lo, raw[lo : x["pos"] + length], x["multi"], x["parts"]))
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.bool_(), pa.int32())
             for k in range(0, len(out), 20_000):
@@ -280,23 +298,27 @@ def _merged(table: pa.Table) -> pa.Table:
 def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """(uid, lo, hi): ranges of starts in distinct ``texts`` (uid, text) at which a repeated string starts."""
     spark = texts.sparkSession
-    found = common.written(_anchor_rows(texts, length), "anchors", compression="zstd")
+    anchors_at, contexts_at = common.work_path(spark, "anchors"), common.work_path(spark, "context-bytes")
+    found = common.saved(_anchor_rows(texts, length), anchors_at, compression="zstd")
     often = found.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select("fp")
     again = common.written(found.join(often, "fp"), "repeated-anchors", compression="zstd")
+    common.remove(spark, anchors_at)
     grouped = again.groupBy("fp", "whole").agg(F.count("*").alias("c"), F.min(F.struct("uid", "pos")).alias("one"))
     grouped = common.written(grouped, "contexts", compression="zstd")
     counts = grouped.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp", F.ceil(F.col("n") / ANCHOR_CONTEXTS).cast("int").alias("parts"))
     wanted = grouped.join(counts, "fp").select("fp", "whole", F.col("one.uid").alias("uid"), F.col("one.pos").alias("pos"), (F.col("c") > 1).alias("multi"), "parts")
-    cut = common.written(_contexts(texts, wanted, length), "context-bytes", compression="zstd")
+    cut = common.saved(_contexts(texts, wanted, length), contexts_at, compression="zstd")
     size = cut.agg(F.sum(F.length("context"))).first()[0] or 0
     shards = max(1, -(-int(size) // SHARD_BYTES))
     dealt = cut.withColumn("shard", F.pmod(F.xxhash64("fp", F.pmod(F.xxhash64("whole"), F.col("parts"))), F.lit(shards)))
     local = common.written(dealt.groupBy("shard").applyInArrow(_shard(length), "uid binary, lo long, hi long, d1 long, d2 long"), "local-repeats", compression="zstd")
+    common.remove(spark, contexts_at)
     open_ = local.where("d1 IS NOT NULL")
     buckets = max(1, -(-open_.count() // MERGE_ROWS))
     crossed = open_.withColumn("bucket", F.pmod(F.col("d1"), F.lit(buckets))).groupBy("bucket").applyInArrow(lambda t: _merged(t.drop_columns(["bucket"])), "uid binary, lo long, hi long")
     # anchors whose whole context repeats, wherever they are
-    whole = again.join(grouped.where("c > 1").select("fp", "whole"), ["fp", "whole"]).select("uid", F.greatest(F.col("pos") - (length - GRAM), F.lit(0)).alias("lo"), (F.col("pos") + 1).alias("hi"))
+    before = length - gram_sizes(length)[0]
+    whole = again.join(grouped.where("c > 1").select("fp", "whole"), ["fp", "whole"]).select("uid", F.greatest(F.col("pos") - before, F.lit(0)).alias("lo"), (F.col("pos") + 1).alias("hi"))
     return local.where("d1 IS NULL").select("uid", "lo", "hi").union(crossed).union(whole)
 
 
@@ -314,41 +336,50 @@ def removal(text: bytes, lo: np.ndarray, hi: np.ndarray, length: int) -> tuple[n
 
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` with clean_text and n_bytes, n_removed, n_spans, kept_sha256 of its text's bytes.
+    """``docs`` with text cleaned, and n_bytes, n_removed, n_spans, kept_sha256 of the bytes of the text that it had.
 
-    Texts are UTF-8; a null text is empty and stays null in clean_text. What is left of a cut
-    character is dropped from clean_text, not from the digest. Equal texts of ``length`` bytes or more are removed as a whole, in every
+    Texts are UTF-8; a null text is empty and stays null. What is left of a cut character is dropped from
+    the text, not from the digest. Equal texts of ``length`` bytes or more are removed as a whole, in every
     row. Shorter texts stay. An empty table gives an empty one; further columns are kept, and
     those named like a new one are replaced.
+
+    Texts are shuffled once, to bring equal ones together; each is then a row of a table in buckets, and
+    what is found about it comes to it. Rows with a text that others have too need no text any more.
     """
-    new = ["clean_text", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    docs = docs.drop(*new, "_uid", "_copies", "_ranges")
-    keyed = docs.withColumn("_uid", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    classes = common.written(keyed.where(F.octet_length("text") >= length).groupBy("_uid").agg(F.count("*").alias("_copies")), "texts")
-    texts = keyed.where(F.octet_length("text") >= length).select(F.col("_uid").alias("uid"), "text").dropDuplicates(["uid"])
-    ranges = repeats(texts, length).groupBy("uid").agg(F.collect_list(F.struct("lo", "hi")).alias("_ranges"))
-    known = classes.join(ranges.withColumnRenamed("uid", "_uid"), "_uid", "left").where("_copies > 1 OR _ranges IS NOT NULL").select("_uid", "_copies", F.when(F.col("_copies") == 1, F.col("_ranges")).alias("_ranges"))
-    joined = keyed.join(known, "_uid", "left").drop("_uid")
-    kept = [f.name for f in docs.schema.fields]
+    new = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    docs = docs.drop(*new)
+    kept = docs.columns
+    size, text = F.octet_length(F.coalesce("text", F.lit(""))).cast("long"), F.col("text")
+    digest = lambda column: F.sha2(F.coalesce(column, F.lit("")).cast("binary"), 256)
+    short = docs.where(size < length).select(*kept, size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), digest(text).alias("kept_sha256"))
+    rest = docs.where(size >= length).select(F.unhex(F.md5(text.cast("binary"))).alias("uid"), F.struct(*kept).alias("doc"), size.alias("size"))
+    texts = common.bucketed(rest.groupBy("uid").agg(F.count("*").alias("copies"), F.first("doc").alias("doc")), "texts", "uid")
+    several = common.written(texts.where("copies > 1").select("uid"), "copied")
+    gone = rest.select("uid", "size", *[F.col("doc")[c].alias(f"_{k}") for k, c in enumerate(kept) if c != "text"]).join(several, "uid", "left_semi")
+    copied = gone.select(*[F.lit("").alias(c) if c == "text" else F.col(f"_{k}").alias(c) for k, c in enumerate(kept)], F.col("size").alias("n_bytes"), F.col("size").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), digest(F.lit("")).alias("kept_sha256"))
+    found = repeats(texts.select("uid", F.col("doc.text").alias("text")), length).groupBy("uid").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    single = texts.where("copies = 1").join(found, "uid", "left").select("doc.*", F.col("ranges").alias("_ranges"))
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches):
             rows = []
-            for text, copies, found in zip(block.column("text").to_pylist(), block.column("_copies").to_pylist(), block.column("_ranges").to_pylist(), strict=True):
-                raw = (text or "").encode()
-                if copies is not None and copies > 1:
-                    lo, hi = np.array([0]), np.array([len(raw)])
-                elif found:
-                    lo, hi = removal(raw, np.array([x["lo"] for x in found], np.int64), np.array([x["hi"] for x in found], np.int64), length)
-                else:
-                    lo = hi = np.zeros(0, np.int64)
+            for raw, at, end in zip((t.encode() for t in common.texts_of(block)), *_list_bounds(block.column("_ranges")), strict=True):
+                ranges = block.column("_ranges").values
+                lo, hi = removal(raw, ranges.field("lo").to_numpy()[at:end], ranges.field("hi").to_numpy()[at:end], length)
                 edges = [0, *np.stack([lo, hi], axis=1).ravel().tolist(), len(raw)]
-                left = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                rows.append((None if text is None else left.decode(errors="ignore"), len(raw), int((hi - lo).sum()), len(lo), hashlib.sha256(left).hexdigest()))
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
-            yield pa.record_batch([*[block.column(c) for c in kept], *columns], names=[*kept, *new])
+                left = b"".join([raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
+                rows.append((left.decode(errors="ignore"), len(raw), int((hi - lo).sum()), len(lo), hashlib.sha256(left).hexdigest()))
+            text, *columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
+            yield pa.record_batch([*[text if c == "text" else block.column(c) for c in kept], *columns], names=[*kept, *new])
 
     schema = T.StructType(list(docs.schema.fields))
-    for name, kind in zip(new, ("string", "long", "long", "long", "string"), strict=True):
+    for name, kind in zip(new, ("long", "long", "long", "string"), strict=True):
         schema = schema.add(name, kind)
-    return common.map_arrow(joined.select(*kept, "_copies", "_ranges"), cleaned, schema)
+    return common.map_arrow(single, cleaned, schema).union(copied).union(short)
+
+
+def _list_bounds(lists: pa.ListArray) -> tuple[list[int], list[int]]:
+    """Where each list starts and ends in the values; a null list is empty."""
+    offsets = lists.offsets.to_numpy()
+    end = np.where(lists.is_valid().to_numpy(zero_copy_only=False), offsets[1:], offsets[:-1])
+    return offsets[:-1].tolist(), end.tolist()
