@@ -5,7 +5,7 @@ A byte is removed if a string of ``length`` bytes that covers it also starts any
 Equal texts are one text. In every ``length``-byte string one gram of somewhat over half the length is its
 anchor: the place of the least hash of much shorter grams, modulo the number of places that an anchor can
 take. So two equal strings hold equal anchors at equal places, and only one byte in fifty starts an anchor. A string can only repeat where
-its anchor does; the context of such an anchor, all strings that hold it, goes to the shard of the anchor.
+its anchor does; the context of such an anchor, all strings whose anchor it is, goes to the shard of the anchor.
 Equal contexts repeat as a whole. Each shard sorts the suffixes of its distinct contexts
 (Larsson-Sadakane refinement), takes common prefixes (Kasai) and so finds strings that occur twice. An
 anchor with very many contexts is dealt to several shards; what one of them leaves open is
@@ -27,7 +27,7 @@ from voxframe.llm.shingles import mixed
 
 LENGTH = 200
 #: Bytes of contexts in a shard, contexts of one anchor in a shard, digests in a merge bucket.
-SHARD_BYTES, ANCHOR_CONTEXTS, MERGE_ROWS = 3 << 18, 2000, 200_000
+SHARD_BYTES, ANCHOR_CONTEXTS, MERGE_ROWS = 3 << 18, 256, 200_000
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -73,22 +73,22 @@ def gram_sizes(length: int) -> tuple[int, int]:
     return gram, least + (gram - least) % (length - gram + 1)
 
 
-def anchors(raw: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Places of the anchors of all ``length``-byte strings.
+def anchors(raw: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, lo, hi): the anchors of all ``length``-byte strings, each with the range of starts of its strings.
 
     The first of equal short hashes counts, so an anchor's place in its string depends on the string alone.
     """
     n = raw.size - length + 1
     if n <= 0:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     gram, short = gram_sizes(length)
     hashes = gram_hashes(raw, short)
     keys = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(hashes.size, dtype=np.uint64)
     least = sliding(keys, length - short + 1, True) & np.uint64(0xFFFFFFFF)
     start = np.arange(n)
-    chosen = np.zeros(raw.size, bool)
-    chosen[start + (least.astype(np.int64) - start) % (length - gram + 1)] = True
-    return np.flatnonzero(chosen)
+    chosen = start + (least.astype(np.int64) - start) % (length - gram + 1)
+    lo = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
+    return chosen[lo], lo, np.append(lo[1:], n)
 
 
 def suffix_array(text: np.ndarray, stop: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -186,36 +186,35 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
-    """(fp, whole, uid, pos) of each anchor; whole: a hash of its context and place in it."""
+    """(fp, whole, uid, lo, hi) of each anchor; whole: a hash of its context and its place there; lo, hi: the range of starts."""
     gram, _ = gram_sizes(length)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches, limit=2 << 20):
-            uid, fp, whole, pos = [], [], [], []
+            uid, fp, whole, ranges = [], [], [], []
             for name, text in zip(block.column("uid").to_pylist(), common.texts_of(block), strict=True):
                 raw = np.frombuffer(text.encode(), np.uint8)
-                places = anchors(raw, length)
+                places, first, last = anchors(raw, length)
                 if not places.size:
                     continue
                 up, down = _powers(raw.size + 1, 0)
                 sums = np.concatenate([[np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: raw.size])])
                 hashes = mixed((sums[places + gram] - sums[places]) * down[places])
-                lo, hi = np.maximum(places - (length - gram), 0), np.minimum(places + length, raw.size)
+                lo, hi = first, last + (length - 1)
                 context = mixed((sums[hi] - sums[lo]) * down[lo]) ^ mixed((places - lo).astype(np.uint64) * np.uint64(1 << 20) + (hi - lo).astype(np.uint64))
                 uid += [name] * places.size
                 fp.append(hashes)
                 whole.append(mixed(context))
-                pos.append(places)
+                ranges.append((first, last))
             join = lambda x, t: np.concatenate(x).view(t) if x else np.zeros(0, t)
-            yield pa.record_batch([pa.array(join(fp, np.int64)), pa.array(join(whole, np.int64)), pa.array(uid, pa.binary()), pa.array(join(pos, np.int64))], names=["fp", "whole", "uid", "pos"])
+            yield pa.record_batch([pa.array(join(fp, np.int64)), pa.array(join(whole, np.int64)), pa.array(uid, pa.binary()), *[pa.array(join([r[k] for r in ranges], np.int64)) for k in (0, 1)]], names=["fp", "whole", "uid", "lo", "hi"])
 
-    return common.map_arrow(texts, found, "fp long, whole long, uid binary, pos long")
+    return common.map_arrow(texts, found, "fp long, whole long, uid binary, lo long, hi long")
 
 
 def _contexts(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The context bytes of wanted anchors (uid, fp, pos, multi, parts)."""
-    before = length - gram_sizes(length)[0]
-    listed = wanted.groupBy("uid").agg(F.collect_list(F.struct("pos", "fp", "multi", "parts", "whole")).alias("list"))
+    """The context bytes of wanted anchors (uid, fp, whole, lo, hi, multi, parts)."""
+    listed = wanted.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi", "fp", "multi", "parts", "whole")).alias("list"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches, limit=1 << 20):
@@ -223,8 +222,7 @@ def _contexts(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             for name, text, items in zip(block.column("uid").to_pylist(), common.texts_of(block), block.column("list").to_pylist(), strict=True):
                 raw = text.encode()
                 for x in items:
-                    lo = max(0, x["pos"] - before)
-                    out.append((x["fp"], x["whole"], name, lo, raw[lo : x["pos"] + length], x["multi"], x["parts"]))
+                    out.append((x["fp"], x["whole"], name, x["lo"], raw[x["lo"] : x["hi"] - 1 + length], x["multi"], x["parts"]))
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.bool_(), pa.int32())
             for k in range(0, len(out), 20_000):
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out[k : k + 20_000], strict=True), kinds, strict=True)], names=["fp", "whole", "uid", "lo", "context", "multi", "parts"])
@@ -303,10 +301,10 @@ def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     often = found.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select("fp")
     again = common.written(found.join(often, "fp"), "repeated-anchors", compression="zstd")
     common.remove(spark, anchors_at)
-    grouped = again.groupBy("fp", "whole").agg(F.count("*").alias("c"), F.min(F.struct("uid", "pos")).alias("one"))
+    grouped = again.groupBy("fp", "whole").agg(F.count("*").alias("c"), F.min(F.struct("uid", "lo", "hi")).alias("one"))
     grouped = common.written(grouped, "contexts", compression="zstd")
     counts = grouped.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp", F.ceil(F.col("n") / ANCHOR_CONTEXTS).cast("int").alias("parts"))
-    wanted = grouped.join(counts, "fp").select("fp", "whole", F.col("one.uid").alias("uid"), F.col("one.pos").alias("pos"), (F.col("c") > 1).alias("multi"), "parts")
+    wanted = grouped.join(counts, "fp").select("fp", "whole", F.col("one.uid").alias("uid"), F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"), (F.col("c") > 1).alias("multi"), "parts")
     cut = common.saved(_contexts(texts, wanted, length), contexts_at, compression="zstd")
     size = cut.agg(F.sum(F.length("context"))).first()[0] or 0
     shards = max(1, -(-int(size) // SHARD_BYTES))
@@ -317,8 +315,7 @@ def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     buckets = max(1, -(-open_.count() // MERGE_ROWS))
     crossed = open_.withColumn("bucket", F.pmod(F.col("d1"), F.lit(buckets))).groupBy("bucket").applyInArrow(lambda t: _merged(t.drop_columns(["bucket"])), "uid binary, lo long, hi long")
     # anchors whose whole context repeats, wherever they are
-    before = length - gram_sizes(length)[0]
-    whole = again.join(grouped.where("c > 1").select("fp", "whole"), ["fp", "whole"]).select("uid", F.greatest(F.col("pos") - before, F.lit(0)).alias("lo"), (F.col("pos") + 1).alias("hi"))
+    whole = again.join(grouped.where("c > 1").select("fp", "whole"), ["fp", "whole"]).select("uid", "lo", "hi")
     return local.where("d1 IS NULL").select("uid", "lo", "hi").union(crossed).union(whole)
 
 
