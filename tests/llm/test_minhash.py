@@ -73,6 +73,13 @@ def test_null_ids_repeated_rows_and_other_columns(spark):
     assert minhash.near_duplicates(docs.limit(0)).collect() == []
 
 
+def test_a_repeated_id_links_by_each_of_its_texts(spark):
+    first, second = [f"a{k}" for k in range(40)], [f"b{k}" for k in range(40)]
+    rows = [(5, " ".join(first)), (5, " ".join(second)), (6, " ".join([*first[:-1], "x"])), (7, " ".join([*second[:-1], "y"]))]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {5: 5, 6: 5, 7: 5}
+
+
 def test_signature_coordinates_are_shifts_of_one_permutation():
     values = np.random.default_rng(1).integers(0, 1 << 63, 700, dtype=np.uint64)
     got = minhash.signature(values, 8)

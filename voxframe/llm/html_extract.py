@@ -249,7 +249,7 @@ def made_up_page(rng: np.random.Generator) -> tuple[str, str]:
         out = []
         for _ in range(rng.integers(1, pick([6, 12, 50]))):
             kind = rng.random()
-            text = line(1, 60)
+            text = line(1, pick([3, 8, 60, 60]))
             kept_text = text
             if kind < 0.55:
                 block = f"<p>{text}" + pick(["</p>", "</p>", ""])

@@ -144,13 +144,32 @@ def links_within(values: np.ndarray, ends: np.ndarray, side: np.ndarray, percent
     return found
 
 
+def against_hubs(candidates: DataFrame, percent: int) -> DataFrame:
+    """(cluster, doc_id, set_key, near, far) of each candidate against one set of its cluster's least doc_id.
+
+    near: the two are linked; far: their Jaccard distance.
+    """
+    hubs = candidates.where("doc_id = cluster").groupBy("cluster").agg(F.min_by("shingles", "set_key").alias("hub"))
+    shared = F.size(F.array_intersect("shingles", "hub"))
+    both = candidates.join(hubs, "cluster").select("cluster", "doc_id", "set_key", shared.alias("i"), (F.size("shingles") + F.size("hub")).alias("n"))
+    return both.select("cluster", "doc_id", "set_key", (F.col("i") * 100 >= percent * (F.col("n") - F.col("i"))).alias("near"), (1 - F.col("i") / (F.col("n") - F.col("i"))).alias("far"))
+
+
 def verified(candidates: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among candidates (doc_id, cluster, shingles) of one cluster, as a spanning forest of each block.
+    """Links (a, b) among candidates (doc_id, cluster, set_key, shingles) of one cluster that join the same documents as all links do.
 
-    A cluster beyond a block's size is dealt by a hash of doc_id to parts, and each pair of parts makes a block.
+    Each is compared with its cluster's hub first. Two that are linked to the hub need no comparison, and,
+    Jaccard distances being a metric, one at a distance x from the hub can be linked only to those between x - reach and
+    x + reach. So a group of near copies of one text, however large, costs one comparison a member. What is left is
+    compared in blocks: a cluster beyond a block's size is dealt by a hash of doc_id to parts, and each pair of parts makes a block.
     """
+    measured = common.written(against_hubs(candidates, percent), "hub-distances")
+    reach = 1 - percent / 100 + 1e-9
+    least = measured.where("NOT near").groupBy("cluster").agg(F.min("far").alias("least"))
+    open_ = measured.join(least, "cluster").where(~F.col("near") | (F.col("far") >= F.col("least") - reach)).select("cluster", "doc_id", "set_key")
+    candidates = candidates.join(open_, ["cluster", "doc_id", "set_key"]).select("cluster", "doc_id", "shingles")
     sized = candidates.groupBy("cluster").agg(F.count("*").alias("m"), F.sum(F.size("shingles")).alias("s"))
-    parts = sized.select("cluster", F.greatest(F.ceil(F.col("m") / BLOCK_MEMBERS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    parts = sized.where("m > 1").select("cluster", F.greatest(F.ceil(F.col("m") / BLOCK_MEMBERS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("parts"))
     dealt = candidates.join(parts, "cluster").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     pairs = dealt.select("cluster", "doc_id", "shingles", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     blocks = pairs.select("cluster", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), (F.col("part") > F.col("other")).alias("second"), "doc_id", "shingles")
@@ -165,7 +184,7 @@ def verified(candidates: DataFrame, percent: int) -> DataFrame:
         a, b = (np.asarray(x, np.int64) for x in (zip(*found, strict=True) if found else ((), ())))
         return pa.table({"a": ids[a] if len(a) else np.zeros(0, np.int64), "b": ids[b] if len(b) else np.zeros(0, np.int64)})
 
-    return blocks.groupBy("cluster", "lo", "hi").applyInArrow(linked, "a long, b long")
+    return blocks.groupBy("cluster", "lo", "hi").applyInArrow(linked, "a long, b long").union(measured.where("near").select("doc_id", "cluster"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
@@ -184,8 +203,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     clusters = common.written(components(edges), "clusters")
     wanted = clusters.join(classes.select(F.col("rep").alias("node"), "set_key"), "node").select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"), F.col("set_key").alias("wanted"))
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id")
-    sets = full_sets(texts, width).where("set_key = wanted").select("doc_id", "cluster", "shingles")
-    links = verified(common.written(sets.dropDuplicates(["doc_id", "cluster"]), "sets"), percent)
+    sets = full_sets(texts, width).where("set_key = wanted").select("doc_id", "cluster", "set_key", "shingles")
+    links = verified(common.written(sets.dropDuplicates(["doc_id", "cluster", "set_key"]), "sets"), percent)
     # a doc_id with several texts joins their classes
     several = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL").join(classes.select("set_key", "rep"), "set_key").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     roots = components(links.union(several))
