@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voxframe.functions.voxels import gathered, uniform, voxel_at
+from voxframe.operators.grid import rotate_90
 
 
 def _between(low: float, high: float, *keys: object) -> Column:
@@ -24,6 +25,16 @@ def random_flip(df: DataFrame, seed: int, axes: tuple[int, ...] = (0, 1, 2), pro
     return df.withColumn("data", gathered(F.col("data"), F.col("shape"), dims, value))
 
 
+def random_rotate_90(df: DataFrame, seed: int, axes: tuple[int, int] = (0, 1)) -> DataFrame:
+    """0 to 3 quarter turns, each as likely."""
+    turns = F.floor(uniform(seed, "rotate", F.col("vec_id")) * 4)
+    marked = df.withColumn("_turns", turns)
+    out = marked.where("_turns = 0")
+    for k in (1, 2, 3):
+        out = out.union(rotate_90(marked.where(F.col("_turns") == k), k, axes))
+    return out.drop("_turns")
+
+
 def gaussian_noise(df: DataFrame, seed: int, std: float = 0.1) -> DataFrame:
     """Box-Muller noise on two uniforms of each voxel."""
     def noisy(v: Column, i: Column) -> Column:

@@ -112,6 +112,22 @@ def resample_trilinear(df: DataFrame, size: list[int]) -> DataFrame:
     return _moved(df, size, value)
 
 
+def resample_trilinear_to(df: DataFrame, size: list[Column]) -> DataFrame:
+    """As ``resample_trilinear``, to a size that is a column."""
+    def value(v: Column, *at: Column) -> Column:
+        return _taps(v, [F.when(v[f"s{k}"] > 1, at[k] * (F.get(v["shape"], k) - 1) / (v[f"s{k}"] - 1)).otherwise(0.0) for k in range(3)])
+
+    return _moved(df, size, value, **{f"s{k}": s for k, s in enumerate(size)})
+
+
+def resample_nearest_to(df: DataFrame, size: list[Column]) -> DataFrame:
+    """As ``resample_nearest``, to a size that is a column."""
+    def value(v: Column, *at: Column) -> Column:
+        return voxel_at(v, *[F.least(F.floor((at[k] + 0.5) * F.get(v["shape"], k) / v[f"s{k}"]).cast("int"), F.get(v["shape"], k) - 1) for k in range(3)])
+
+    return _moved(df, size, value, **{f"s{k}": s for k, s in enumerate(size)})
+
+
 def size_for_spacing(shape: list[int], spacing: list[float], target: list[float]) -> list[int]:
     """max(1, round(dim * spacing / target)) for each axis, halves away from zero."""
     return [max(1, int(d * s / t + 0.5)) for d, s, t in zip(shape, spacing, target, strict=True)]

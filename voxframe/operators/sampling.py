@@ -73,3 +73,12 @@ def epoch(df: DataFrame, seed: int, number: int) -> DataFrame:
 def batches(ordered: DataFrame, size: int) -> DataFrame:
     """Batch number and place in it; the last batch may be short."""
     return ordered.select("vec_id", F.floor(F.col("place") / size).cast("long").alias("batch"), (F.col("place") % size).alias("slot"))
+
+
+def exact_starts(df: DataFrame, size: list[int], count: int, seed: int) -> DataFrame:
+    """Exactly ``count`` patches a volume: the lattice in order of z, y, x, cut or topped up at random."""
+    lattice = grid_starts(df, size, 0)
+    placed = lattice.withColumn("k", F.row_number().over(Window.partitionBy("vec_id").orderBy("z0", "y0", "x0")) - 1).where(F.col("k") < count)
+    found = lattice.groupBy("vec_id").agg(F.count("*").alias("n"))
+    more = random_starts(df, size, count, seed).join(found, "vec_id", "left").where(F.col("k") + F.coalesce("n", F.lit(0)) < count)
+    return placed.select("vec_id", "k", "x0", "y0", "z0").union(more.select("vec_id", (F.col("k") + F.coalesce("n", F.lit(0))).cast("int"), "x0", "y0", "z0"))

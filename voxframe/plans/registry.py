@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from voxframe.operators import augment, grid, intensity, sampling
+from voxframe.functions import geometry
+from voxframe.operators import augment, grid, intensity, sampling, subjects
 from voxframe.plans.pipeline import TransformPipeline
 from voxframe.sources import nifti
 
@@ -188,6 +189,104 @@ add(
 add("load_cropped", lambda df: nifti.decoded(nifti.encoded(df).select(F.col("vec_id").cast("string").alias("path"), "content"), ([1, 0, 2], [3, 3, 4])).select(F.col("path").cast("long").alias("vec_id"), F.posexplode("data").alias("i", "v")), "SELECT vec_id, o::INT AS i, embedding[(2 + o % 2 + 4 * ((o // 2) % 3) + 16 * (2 + o // 6))::INT]::DOUBLE AS v FROM embeddings, range(12) t(o)")
 
 
+TURNS = f"floor({u(SEED_KEY, chr(39) + 'rotate' + chr(39), 'vec_id')} * 4)"
+remapped("random_rotate90", lambda df: augment.random_rotate_90(df, SEED), (4, 4, 4), f"CASE {TURNS} WHEN 0 THEN {at('x', 'y', 'z')} WHEN 1 THEN {at('3 - y', 'x', 'z')} WHEN 2 THEN {at('3 - x', '3 - y', 'z')} ELSE {at('y', '3 - x', 'z')} END")
+add("num_voxels", lambda df: df.select("vec_id", F.aggregate("shape", F.lit(1), lambda a, d: a * d).alias("n")), "SELECT vec_id, 64::INT AS n FROM embeddings")
+#: The affines of four orientations: RAS, LPS, LAS and one with its axes permuted.
+AFFINES = [[[1.0, 0, 0], [0, 1.0, 0], [0, 0, 2.5]], [[-1.0, 0, 0], [0, -1.0, 0], [0, 0, 2.5]], [[-1.0, 0, 0], [0, 1.0, 0], [0, 0, 2.5]], [[0, -1.0, 0], [0, 0, 2.5], [1.0, 0, 0]]]
+
+
+def affine_by_label() -> Column:
+    options = F.array(*[geometry.matrix_of([[F.lit(float(x)) for x in [*row, 0.0]] for row in m]) for m in AFFINES])
+    return F.get(options, F.col("label") % 4)
+
+
+add("orientation_code", lambda df: df.select("vec_id", geometry.orientation_code(affine_by_label()).alias("code")), "SELECT vec_id, CASE label % 4 WHEN 0 THEN 'RAS' WHEN 1 THEN 'LPS' WHEN 2 THEN 'LAS' ELSE 'SLA' END AS code FROM embeddings")
+
+
+def own_affine() -> Column:
+    """Near the identity, sheared by the volume's first voxels."""
+    e = [F.get("data", k) for k in range(9)]
+    one, none = F.lit(1.0), F.lit(0.0)
+    return geometry.matrix_of([[one, e[0], e[1], e[2]], [none, one * 2, e[3], e[4]], [e[5], none, one, e[6]]])
+
+
+def inverted(df: DataFrame) -> DataFrame:
+    rows = df.select("vec_id", geometry.inverse(own_affine()).alias("m"))
+    return rows.select("vec_id", *[F.round(geometry.cell(F.col("m"), r, c), 4).alias(f"m{r}{c}") for r in range(3) for c in range(4)])
+
+
+#: Rows of the inverse of ((1, a, b), (0, 2, c), (d, 0, 1)), times its determinant.
+COFACTORS = [["2", "-a", "a * c - 2 * b"], ["c * d", "1 - b * d", "-c"], ["-2 * d", "a * d", "2"]]
+SHIFTS = ["p", "q", "r"]
+add(
+    "affine_inverse",
+    inverted,
+    "WITH k AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS p, embedding[4]::DOUBLE AS c, embedding[5]::DOUBLE AS q, embedding[6]::DOUBLE AS d, embedding[7]::DOUBLE AS r FROM embeddings), t AS (SELECT *, 2 + a * c * d - 2 * b * d AS det FROM k) SELECT vec_id, "
+    + ", ".join(f"round(({x}) / det, 4) AS m{i}{j}" for i, row in enumerate(COFACTORS) for j, x in enumerate(row))
+    + ", " + ", ".join(f"round(-({' + '.join(f'({x}) * {s}' for x, s in zip(row, SHIFTS, strict=True))}) / det, 4) AS m{i}3" for i, row in enumerate(COFACTORS))
+    + " FROM t",
+)
+
+
+def quaternions(df: DataFrame) -> DataFrame:
+    e = [F.get("data", k) for k in range(7)]
+    m = geometry.from_quaternion(e[0], e[1], e[2], e[3:6], [F.lit(s) for s in SPACING], e[6])
+    return df.select("vec_id", m.alias("m")).select("vec_id", *[F.round(geometry.cell(F.col("m"), r, c), 4).alias(f"m{r}{c}") for r in range(3) for c in range(4)])
+
+
+TURN_ROWS = [["a*a + b*b - c*c - d*d", "2 * (b*c - a*d)", "2 * (b*d + a*c)"], ["2 * (b*c + a*d)", "a*a + c*c - b*b - d*d", "2 * (c*d - a*b)"], ["2 * (b*d - a*c)", "2 * (c*d + a*b)", "a*a + d*d - b*b - c*c"]]
+add(
+    "qform_affine",
+    quaternions,
+    "WITH k AS (SELECT vec_id, embedding::DOUBLE[] AS e, embedding[1]::DOUBLE AS b, embedding[2]::DOUBLE AS c, embedding[3]::DOUBLE AS d FROM embeddings), t AS (SELECT *, sqrt(greatest(0, 1 - b*b - c*c - d*d)) AS a FROM k) SELECT vec_id, "
+    + ", ".join(f"round(({x}) * {('1.0', '1.0', '(CASE WHEN e[7] < 0 THEN -2.5::DOUBLE ELSE 2.5::DOUBLE END)')[j]}, 4) AS m{i}{j}" for i, row in enumerate(TURN_ROWS) for j, x in enumerate(row))
+    + ", round(e[4], 4) AS m03, round(e[5], 4) AS m13, round(e[6], 4) AS m23 FROM t",
+)
+
+
+def subject_files(df: DataFrame) -> DataFrame:
+    """Two files a subject: an image, and a label at another spacing."""
+    key = F.col("vec_id") % 2
+    spacing = F.when(key == 0, F.array(*[F.lit(s) for s in SPACING])).otherwise(F.array(F.lit(2.0), F.lit(1.0), F.lit(1.25)))
+    return df.select(F.floor(F.col("vec_id") / 2).alias("subject"), key.alias("key"), (key == 1).alias("is_label"), "shape", spacing.alias("spacing"), "data")
+
+
+def files(df: DataFrame) -> DataFrame:
+    return df.select("subject", "key", F.posexplode("data").alias("i", "v")).select("subject", "key", "i", F.round("v", 4).alias("v"))
+
+
+def by_key(image: tuple[tuple[int, int, int], str], label: tuple[tuple[int, int, int], str], extra: str = "") -> str:
+    part = lambda key, size, value: f"SELECT subject, {key}::BIGINT AS key, o::INT AS i, round({value}, 4) AS v FROM (SELECT *, (o % {size[0]})::INT AS x, ((o // {size[0]}) % {size[1]})::INT AS y, (o // {size[0] * size[1]})::INT AS z FROM (SELECT vec_id // 2 AS subject, embedding::DOUBLE[] AS e{extra} FROM embeddings WHERE vec_id % 2 = {key} AND EXISTS (FROM embeddings r WHERE r.vec_id = embeddings.vec_id // 2 * 2)), range({size[0] * size[1] * size[2]}) t(o))"
+    return f"{part(0, *image)} UNION ALL {part(1, *label)}"
+
+
+add("multi_file_align", lambda df: files(subjects.align(subject_files(df))), by_key(((4, 4, 4), at("x", "y", "z")), ((8, 4, 2), at("least(floor((x + 0.5) * 4 / 8), 3)", "y", "least(floor((z + 0.5) * 4 / 2), 3)"))))
+add("spatial_normalize", lambda df: files(subjects.normalize(subject_files(df))), by_key(((4, 4, 8), blended("x", "y", "(z * 3 / 7.0::DOUBLE)")), ((8, 4, 4), at("least(floor((x + 0.5) * 4 / 8), 3)", "y", "z"))))
+STARTS = ", ".join(f"floor({u(SEED_KEY, chr(39) + 'crop' + chr(39), '(vec_id // 2)', chr(39) + str(k) + chr(39))} * 3)::INT AS {c}0" for k, c in enumerate("xyz"))
+add("coordinated_crop", lambda df: files(subjects.coordinated_crop(subject_files(df), [2, 2, 2], SEED)), by_key(((2, 2, 2), at("x + x0", "y + y0", "z + z0")), ((2, 2, 2), at("x + x0", "y + y0", "z + z0")), ", " + STARTS))
+BOX = ", ".join(f"floor({u(SEED_KEY, chr(39) + 'box' + chr(39), 'vec_id', 'k', chr(39) + str(a) + chr(39))} * {4 - s + 1})::INT AS {c}0" for a, (c, s) in enumerate(zip("xyz", (2, 4, 2), strict=True)))
+add("loader_exact_n", lambda df: sampling.exact_starts(df, [2, 4, 2], 6, SEED), f"SELECT vec_id, (x // 2 + 2 * (z // 2))::INT AS k, x::INT AS x0, 0::INT AS y0, z::INT AS z0 FROM embeddings, range(0, 3, 2) a(x), range(0, 3, 2) b(z) UNION ALL SELECT vec_id, (k + 4)::INT AS k, x0, y0, z0 FROM (SELECT vec_id, k, {BOX} FROM embeddings, range(2) t(k))")
+add("loader_truncated", lambda df: sampling.exact_starts(df, [2, 4, 2], 3, SEED), "SELECT vec_id, (x // 2 + 2 * (z // 2))::INT AS k, x::INT AS x0, 0::INT AS y0, z::INT AS z0 FROM embeddings, range(0, 3, 2) a(x), range(0, 3, 2) b(z) WHERE x // 2 + 2 * (z // 2) < 3")
+
+
+def profiler_bottlenecks(spark: SparkSession, sf_dir: str, threshold: float = 50.0) -> DataFrame:
+    """Operations whose mean time exceeds a threshold, slowest first."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
+    return e.where(F.col("mean") > threshold).orderBy(F.desc("mean")).select("event_type", F.round("mean", 4).alias("mean"), "n")
+
+
+def benchmark_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean, population deviation, extremes and median of each operation."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type")
+    out = e.agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("least"), F.max("value").alias("most"), F.median("value").alias("median"))
+    return out.select("event_type", *[F.round(c, 4).alias(c) for c in ("mean", "std", "least", "most", "median")])
+
+
+BOTTLENECKS = "SELECT event_type, round(avg(value), 4) AS mean, count(*) AS n FROM events GROUP BY 1 HAVING avg(value) > 50 ORDER BY avg(value) DESC"
+BENCHMARK = "SELECT event_type, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std, round(min(value), 4) AS least, round(max(value), 4) AS most, round(median(value), 4) AS median FROM events GROUP BY 1"
+
+
 def profiler_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count, total, mean, extremes and share of time of each operation."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.min("value").alias("least"), F.max("value").alias("most"))
@@ -203,8 +302,8 @@ def _over_volumes(query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _over_volumes(q) for name, q in QUERIES.items()} | {"profiler_summary": profiler_summary}
+    return {name: _over_volumes(q) for name, q in QUERIES.items()} | {"profiler_summary": profiler_summary, "profiler_bottlenecks": profiler_bottlenecks, "benchmark_summary": benchmark_summary}
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES | {"profiler_summary": PROFILER}
+    return ORACLES | {"profiler_summary": PROFILER, "profiler_bottlenecks": BOTTLENECKS, "benchmark_summary": BENCHMARK}
