@@ -1,10 +1,13 @@
 """Language-model scores by a weighted backoff automaton over words.
 
-Counts of all words of the training texts give the lowest order, add-one smoothed. Words whose
-share of the training tokens reaches ``HEAD_SHARE`` (at most 1 / HEAD_SHARE of them), and pairs and triples of
-such words whose share reaches ``GRAM_SHARE``, get states and arcs: absolute discounting, and failure arcs with
-the weights that make each state's probabilities sum to one. The shares bound the automaton at every
-corpus size, so it may be broadcast; word counts have no bound and are joined to blocks of documents.
+Counts of all words of the training texts give the lowest order, add-one smoothed. All pairs and triples that the
+training texts hold at least ``LEAST`` times get states and arcs: absolute discounting, and failure arcs with
+the weights that make each state's probabilities sum to one. No share of the corpus is asked for, so the
+automaton grows with it and is nowhere held as a whole: its words, pairs and triples are dealt to slices by 64-bit
+hashes, counted there, and each block of documents gets back what its own texts can reach.
+
+The state before a token depends on the two words before it alone, so all tokens of a block step at once. Grams are
+told apart by their hashes: among 8e9 distinct ones, those of about 30 GB, two are expected to collide.
 """
 
 from __future__ import annotations
@@ -18,9 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voxframe.llm import common
-from voxframe.llm.shingles import word_hashes
+from voxframe.llm.shingles import mixed, word_hashes
 
-HEAD_SHARE, GRAM_SHARE, DISCOUNT = 1e-4, 1e-6, 0.5
+#: Least count of a pair or triple with an arc. Shares of the corpus are not asked for.
+LEAST, HEAD_SHARE, GRAM_SHARE, DISCOUNT = 2, 0.0, 0.0, 0.5
+#: Slices of the hashes, at least, as a power of two, and keys that one slice holds at most on average. The counts are made in
+#: so many passes over the slices, each with its share of the shuffled bytes.
+SLICE_BITS, SLICE_KEYS, PASSES = 11, 4_000_000, 2
 PACK_BYTES = 8 << 20
 END = np.uint64(0x5EED0F7E47)
 
@@ -56,142 +63,203 @@ def tokens_of(text: str) -> np.ndarray:
     return np.append(word_hashes(text.encode()), END)
 
 
-def word_counts(blocks: DataFrame) -> DataFrame:
-    """(block, word, c) for every distinct token of a block; c counts training texts only and may be 0."""
+def runs_of(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """The texts' sizes in tokens, and for 1, 2 and 3 tokens the hash of the run that ends at each token and whether its text holds it."""
+    own = [tokens_of(t) for t in texts]
+    sizes = np.array([len(x) for x in own], np.int64)
+    runs = [np.concatenate(own)]
+    for step in (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)):
+        runs.append(mixed(np.concatenate([[np.uint64(0)], runs[-1][:-1]]) * step + runs[0]))
+    begin = np.cumsum(sizes) - sizes
+    valid = [np.ones(runs[0].size, bool) for _ in runs]
+    valid[1][begin] = valid[2][begin] = False
+    valid[2][begin[sizes > 1] + 1] = False
+    return sizes, runs, valid
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def firsts(ordered: np.ndarray) -> np.ndarray:
+    """Where each distinct value begins in sorted ones."""
+    return np.flatnonzero(np.diff(ordered, prepend=~ordered[:1]))
+
+
+@dataclass
+class Grams:
+    """The words, pairs and triples of a block's texts, each with its place in the sorted distinct ``keys``.
+
+    ``at[n][i]`` is the place of the run of n + 1 tokens that ends at token i, -1 where its text begins later.
+    """
+
+    sizes: np.ndarray
+    keys: np.ndarray
+    at: list[np.ndarray]
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Grams:
+        sizes, runs, valid = runs_of(texts)
+        flat = np.concatenate([r[v] for r, v in zip(runs, valid, strict=True)])
+        order = np.argsort(flat)
+        flat = flat[order]
+        first = firsts(flat)
+        place = np.empty(flat.size, np.int32)
+        place[order] = np.repeat(np.arange(first.size, dtype=np.int32), np.diff(np.append(first, flat.size)))
+        at, lo = [], 0
+        for v in valid:
+            own = np.full(v.size, -1, np.int32)
+            own[v] = place[lo : (lo := lo + int(v.sum()))]
+            at.append(own)
+        return cls(sizes, flat[first], at)
+
+
+def counts_of(texts: list[str], train: list[bool], bits: int, slices: range) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct keys of ``slices`` in the texts, and how often the training texts hold each."""
+    sizes, runs, valid = runs_of(texts)
+    use = np.repeat(np.array(train, bool), sizes)
+    every, trained = [], []
+    for run, held in zip(runs, valid, strict=True):
+        part = run >> np.uint64(64 - bits)
+        held &= (part >= slices.start) & (part < slices.stop)
+        every.append(run[held])
+        trained.append(run[held & use])
+    keys, own = np.sort(np.concatenate(every)), np.sort(np.concatenate(trained))
+    keys, first = keys[firsts(keys)], firsts(own)
+    counts = np.zeros(keys.size, np.int64)
+    counts[np.searchsorted(keys, own[first])] = np.diff(np.append(first, own.size))
+    return keys, counts
+
+
+def rows_of(block: int, keys: np.ndarray, values: np.ndarray, bits: int) -> pa.RecordBatch:
+    """A row for each slice that has keys of the block: their bytes and those of their values."""
+    slices = keys >> np.uint64(64 - bits)
+    first = firsts(slices)
+    edges = np.append(first, keys.size)
+
+    def cut(x: np.ndarray) -> pa.Array:
+        width = x.nbytes // max(1, keys.size)
+        return pa.Array.from_buffers(pa.binary(), first.size, [None, pa.py_buffer((edges * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+
+    return pa.record_batch([pa.array(slices[first].astype(np.int32)), pa.array(np.full(first.size, block)), cut(keys), cut(values)], names=["slice", "block", "keys", "values"])
+
+
+ROWS = "slice int, block long, keys binary, values binary"
+
+
+def summed(rows: DataFrame, width: int, owners: bool) -> DataFrame:
+    """(block, slice, values): the values of equal keys added over all blocks, returned to each block in its keys' order.
+
+    With ``owners`` one of the blocks that hold a key gets its sum negative.
+    """
+
+    def merge(slice_: int, held: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        keys = np.concatenate([np.frombuffer(k, np.uint64) for _, k, _ in held])
+        values = np.concatenate([np.frombuffer(v, np.int64) for _, _, v in held]).reshape(-1, width)
+        order = np.argsort(keys)
+        first = firsts(keys[order])
+        sums = np.add.reduceat(values[order], first, axis=0)
+        out = np.empty_like(values)
+        out[order] = np.repeat(sums, np.diff(np.append(first, keys.size)), axis=0)
+        if owners:
+            out[order[first]] *= -1
+        ends = np.cumsum([len(k) // 8 for _, k, _ in held])
+        parts = [out[e - len(k) // 8 : e].tobytes() for e, (_, k, _) in zip(ends, held, strict=True)]
+        return pa.record_batch([pa.array([b for b, _, _ in held], pa.int64()), pa.array([slice_] * len(held), pa.int32()), pa.array(parts, pa.binary())], names=["block", "slice", "values"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = -1, []
         for batch in batches:
-            for block, texts, train in zip(*(batch.column(c).to_pylist() for c in ("block", "texts", "train")), strict=True):
-                own = [tokens_of(t) for t in texts]
-                weight = np.repeat(np.array(train, np.int64), [len(x) for x in own])
-                words, place = np.unique(np.concatenate(own), return_inverse=True)
-                yield pa.record_batch([pa.array(np.full(words.size, block)), pa.array(words.view(np.int64)), pa.array(np.bincount(place, weight, words.size).astype(np.int64))], names=["block", "word", "c"])
+            for slice_, *row in zip(*(batch.column(c).to_pylist() for c in ("slice", "block", "keys", "values")), strict=True):
+                if held and slice_ != now:
+                    yield merge(now, held)
+                    held = []
+                now = slice_
+                held.append(tuple(row))
+        if held:
+            yield merge(now, held)
 
-    return common.map_arrow(blocks, counted, "block long, word long, c long")
+    return common.map_arrow(rows.repartition("slice").sortWithinPartitions("slice"), merged, "block long, slice int, values binary")
 
 
-def grams_of(heads: np.ndarray, order: int) -> np.ndarray:
-    """Codes of the runs of ``order`` head words in one text's head numbers (-1: no head)."""
-    n = heads.size - order + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    code, ok = np.zeros(n, np.int64), np.ones(n, bool)
-    for k in range(order):
-        part = heads[k : k + n]
-        code = code << 20 | part
-        ok &= part >= 0
-    return code[ok]
+def by_block(sums: DataFrame, name: str) -> DataFrame:
+    """(block, name): the values of a block's slices in order."""
+    return sums.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("slice", "values"))).alias("list")).select("block", F.col("list.values").alias(name))
 
 
-def head_numbers(tokens: np.ndarray, head: np.ndarray) -> np.ndarray:
-    if not head.size:
-        return np.full(tokens.size, -1)
-    at = np.minimum(np.searchsorted(head, tokens), head.size - 1)
-    return np.where(head[at] == tokens, at, -1)
+def joined(parts: pa.ListScalar) -> np.ndarray:
+    return np.frombuffer(b"".join(parts.as_py()), np.int64)
 
 
-def gram_counts(blocks: DataFrame, head: np.ndarray) -> DataFrame:
-    """(n, code, c): counts of pairs and triples of head words within training texts."""
+def gram_rows(blocks: DataFrame, bits: int, slices: range) -> DataFrame:
+    """The keys of each block in ``slices``, with their counts in its training texts."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts, train in zip(batch.column("texts").to_pylist(), batch.column("train").to_pylist(), strict=True):
-                numbers = [head_numbers(tokens_of(t), head) for t, use in zip(texts, train, strict=True) if use]
-                for n in (2, 3):
-                    codes, c = np.unique(np.concatenate([grams_of(x, n) for x in numbers] or [np.zeros(0, np.int64)]), return_counts=True)
-                    yield pa.record_batch([pa.array(np.full(codes.size, n, np.int32)), pa.array(codes), pa.array(c)], names=["n", "code", "c"])
+            for block, texts, train in zip(*(batch.column(c) for c in ("block", "texts", "train")), strict=True):
+                yield rows_of(block.as_py(), *counts_of(texts.as_py(), train.as_py(), bits, slices), bits)
 
-    return common.map_arrow(blocks, counted, "n int, code long, c long").groupBy("n", "code").agg(F.sum("c").alias("c"))
+    return common.map_arrow(blocks, counted, ROWS)
 
 
-@dataclass
-class Automaton:
-    """States 0 (no history), 1..H (one head word), then pairs. Arcs are sorted by state << 20 | word."""
-
-    head: np.ndarray
-    arcs: np.ndarray
-    arc_score: np.ndarray
-    arc_next: np.ndarray
-    failure: np.ndarray
-    weight: np.ndarray
-    to_root: np.ndarray
-    floor: float
-
-    def step(self, state: np.ndarray, heads: np.ndarray, lowest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scores and next states of one token for many texts; ``lowest`` is the token's lowest-order score."""
-        score, now = np.zeros(state.size), state.copy()
-        open_ = np.flatnonzero((heads >= 0) & (state > 0))
-        done = np.zeros(state.size, bool)
-        while open_.size:
-            key = now[open_] << 20 | heads[open_]
-            at = np.minimum(np.searchsorted(self.arcs, key), self.arcs.size - 1) if self.arcs.size else np.zeros(key.size, np.int64)
-            hit = self.arcs[at] == key if self.arcs.size else np.zeros(key.size, bool)
-            ok, a = open_[hit], at[hit]
-            score[ok] += self.arc_score[a]
-            now[ok] = self.arc_next[a]
-            done[ok] = True
-            rest = open_[~hit]
-            score[rest] += self.weight[now[rest]]
-            now[rest] = self.failure[now[rest]]
-            open_ = rest[now[rest] > 0]
-        plain = heads < 0
-        score[plain] = self.to_root[state[plain]]
-        score[~done] += lowest[~done]
-        now[~done] = heads[~done] + 1
-        return score, now
-
-
-def build(head: np.ndarray, head_counts: np.ndarray, grams: dict[int, tuple[np.ndarray, np.ndarray]], tokens: int, distinct: int) -> Automaton:
-    """The automaton of sorted head words and kept (codes, counts) of pairs and triples, codes sorted."""
-    total = tokens + distinct + 1
-    lowest = (head_counts + 1) / total
-    two, c2 = grams[2]
-    three, c3 = grams[3]
-    mask = (1 << 20) - 1
-    count = head.size + 1
-    states = count + two.size
-    failure, weight = np.zeros(states, np.int64), np.zeros(states)
-    failure[count:] = (two & mask) + 1
-    # pairs: from the state of the first word
-    first, word = two >> 20, two & mask
-    p2 = (c2 - DISCOUNT) / head_counts[first] if two.size else np.zeros(0)
-    left = 1 - np.bincount(first + 1, p2, count)
-    below = 1 - np.bincount(first + 1, lowest[word], count)
-    weight[:count] = np.where(np.arange(count) > 0, np.log10(np.maximum(left, 1e-12) / np.maximum(below, 1e-12)), 0.0)
-    # triples: from the state of the first two words
-    pair = np.searchsorted(two, three >> 20)
-    last = three & mask
-    p3 = (c3 - DISCOUNT) / c2[pair] if three.size else np.zeros(0)
-    shorter = np.searchsorted(two, (three >> 20 & mask) << 20 | last)
-    left = 1 - np.bincount(pair, p3, two.size)
-    below = 1 - np.bincount(pair, p2[shorter] if three.size else None, two.size)
-    weight[count:] = np.log10(np.maximum(left, 1e-12) / np.maximum(below, 1e-12))
-    arcs = np.concatenate([(first + 1) << 20 | word, (pair + count) << 20 | last])
-    scores = np.log10(np.concatenate([p2, p3]))
-    nexts = np.concatenate([np.arange(two.size) + count, shorter + count]).astype(np.int64)
-    order = np.argsort(arcs)
-    to_root = weight + np.where(np.arange(states) >= count, weight[failure], 0.0)
-    return Automaton(head, arcs[order], scores[order], nexts[order], failure, weight, to_root, float(np.log10(1 / total)))
-
-
-def scored(tokens: list[np.ndarray], lowest: list[np.ndarray], machine: Automaton) -> np.ndarray:
-    """log10 probability of each text, all texts of a block advancing token by token."""
-    order = sorted(range(len(tokens)), key=lambda k: -tokens[k].size)
-    sizes = np.array([tokens[k].size for k in order])
-    total, state = np.zeros(len(order)), np.zeros(len(order), np.int64)
-    begin = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    heads = np.concatenate([head_numbers(tokens[k], machine.head) for k in order])
-    low = np.concatenate([lowest[k] for k in order])
-    live = len(order)
-    for t in range(int(sizes[0])):
-        while sizes[live - 1] <= t:
-            live -= 1
-        at = begin[:live] + t
-        score, state[:live] = machine.step(state[:live], heads[at], low[at])
-        total[:live] += score
-    out = np.empty(len(order))
-    out[order] = total
-    return out
+def asked_of(grams: Grams, totals: np.ndarray) -> np.ndarray:
+    """The places of keys that are states: words and pairs with arcs or a failure weight to look up."""
+    state = np.zeros(grams.keys.size, bool)
+    state[grams.at[0]] = True
+    pairs = grams.at[1][grams.at[1] >= 0]
+    state[pairs[totals[pairs] >= LEAST]] = True
+    return np.flatnonzero(state)
+
+
+def state_rows(blocks: DataFrame, bits: int) -> DataFrame:
+    """The states of each block, with the sums over the arcs that it owns, and the block's owned tokens and distinct words.
+
+    Sums of an arc's counts, of arcs and of the counts that the failure state has of the arcs' words.
+    """
+
+    def stated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, texts, signed in zip(*(batch.column(c) for c in ("block", "texts", "totals")), strict=True):
+                grams, signed = Grams.of(texts.as_py()), joined(signed)
+                totals, asked = np.abs(signed), asked_of(grams, np.abs(signed))
+                sums, owner = np.zeros((grams.keys.size, 3), np.int64), np.zeros(grams.keys.size, np.int64)
+                for n in (1, 2):
+                    # one token for each owned arc
+                    here = np.flatnonzero(grams.at[n] >= 0)
+                    here = here[signed[grams.at[n][here]] <= -LEAST]
+                    owner[grams.at[n][here]] = here
+                    here = here[owner[grams.at[n][here]] == here]
+                    state, count, below = grams.at[n - 1][here - 1], totals[grams.at[n][here]], totals[grams.at[n - 1][here]]
+                    for k, x in enumerate((count, np.ones_like(count), below)):
+                        sums[:, k] += np.bincount(state, x, grams.keys.size).astype(np.int64)
+                word = np.zeros(grams.keys.size, bool)
+                word[grams.at[0]] = True
+                owned = -signed[word & (signed < 0)]
+                rows = rows_of(block.as_py(), grams.keys[asked], sums[asked], bits)
+                extra = [pa.array([int(x), *[0] * (rows.num_rows - 1)], pa.int64()) for x in (owned.sum(), owned.size)]
+                yield pa.record_batch([*rows.columns, *extra], names=[*rows.schema.names, "n", "v"])
+
+    return common.map_arrow(blocks, stated, ROWS + ", n long, v long")
+
+
+def token_scores(grams: Grams, totals: np.ndarray, sums: np.ndarray, mass: int) -> tuple[np.ndarray, np.ndarray]:
+    """log10 probability of each token by the lowest order and by the automaton; ``sums`` are those of each key's arcs."""
+    count, arcs, below = sums.T.astype(float)
+    word, pair, triple = grams.at
+    c1, c2, c3 = (np.where(at >= 0, totals[at], 0) for at in grams.at)
+    before = np.concatenate([[0], c1[:-1]])
+    lowest = np.log10(c1 + 1.0) - np.log10(float(mass))
+
+    def weight(of: np.ndarray, left: np.ndarray, taken: np.ndarray) -> np.ndarray:
+        return np.where(arcs[of] > 0, np.log10(np.maximum(1 - left, 1e-12) / np.maximum(1 - taken, 1e-12)), 0.0)
+
+    ahead = np.concatenate([[0], word[:-1]])
+    known = np.maximum(before, 1)
+    fail = weight(ahead, (count[ahead] - DISCOUNT * arcs[ahead]) / known, (below[ahead] + arcs[ahead]) / mass)
+    two = np.where(c2 >= LEAST, np.log10(np.maximum(c2 - DISCOUNT, DISCOUNT) / known), fail + lowest)
+    two = np.where(pair >= 0, two, lowest)
+    ahead, c2_before = np.concatenate([[-1], pair[:-1]]), np.concatenate([[0], c2[:-1]])
+    state = (triple >= 0) & (c2_before >= LEAST)
+    wide = np.maximum(c2_before, 1)
+    fail = weight(ahead, (count[ahead] - DISCOUNT * arcs[ahead]) / wide, (below[ahead] - DISCOUNT * arcs[ahead]) / known)
+    three = np.where(c3 >= LEAST, np.log10(np.maximum(c3 - DISCOUNT, DISCOUNT) / wide), fail + two)
+    return lowest, np.where(state, three, two)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -205,38 +273,30 @@ def score(docs: DataFrame) -> DataFrame:
     is in training. An empty table gives an empty one; other columns are ignored.
     """
     docs = docs.select("doc_id", "text", (~held_out(F.col("doc_id"))).alias("train"))
-    blocks = common.written(packed(docs), "blocks", compression="zstd")
-    local = common.written(word_counts(blocks), "block-words", compression="zstd")
-    words = common.written(local.groupBy("word").agg(F.sum("c").alias("c")).where("c > 0"), "words", compression="zstd")
-    size = words.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    tokens, distinct = int(size["n"] or 0), int(size["v"])
-    rows = words.where(F.col("c") >= max(2.0, HEAD_SHARE * tokens)).toArrow().combine_chunks()
-    head, counts = rows.column("word").to_numpy().view(np.uint64), rows.column("c").to_numpy()
-    order = np.argsort(head)
-    head, counts = head[order], counts[order]
-    kept = gram_counts(blocks, head).where(F.col("c") >= max(2.0, GRAM_SHARE * tokens)).toArrow()
-    n, code, c = (kept.column(k).to_numpy() for k in ("n", "code", "c"))
-    grams = {}
-    for k in (2, 3):
-        own = np.flatnonzero(n == k)
-        own = own[np.argsort(code[own])]
-        grams[k] = (code[own].astype(np.int64), c[own].astype(np.int64))
-    machine = build(head, counts, grams, tokens, distinct)
-    log_total = float(np.log10(tokens + distinct + 1))
+    blocks = common.bucketed(packed(docs), "blocks", "block")
+    size = int(blocks.agg(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.length(t)))).first()[0] or 0)
+    bits = max(SLICE_BITS, int(size / SLICE_KEYS).bit_length())
+    share = [(k << bits) // PASSES for k in range(PASSES + 1)]
+    passes = [common.written(summed(gram_rows(blocks, bits, range(share[k], share[k + 1])), 1, True), "gram-sums", compression="zstd") for k in range(PASSES)]
+    totals = passes[0]
+    for more in passes[1:]:
+        totals = totals.union(more)
+    counted = blocks.join(by_block(totals, "totals"), "block")
+    states = common.written(state_rows(counted, bits), "states", compression="zstd")
+    whole = states.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    tokens, distinct = int(whole["n"] or 0), int(whole["v"] or 0)
+    mass = tokens + distinct + 1
+    sums = common.written(summed(states.select("slice", "block", "keys", "values"), 3, False), "state-sums", compression="zstd")
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts, train, known, times in zip(*(batch.column(c) for c in ("ids", "texts", "train", "words", "counts")), strict=True):
-                known, times = known.values.to_numpy(zero_copy_only=False).view(np.uint64), times.values.to_numpy(zero_copy_only=False)
-                by = np.argsort(known)
-                known, times = known[by], times[by]
-                own = [tokens_of(t) for t in texts.as_py()]
-                found = [times[np.searchsorted(known, x)] for x in own]
-                lowest = [np.log10(x + 1.0) - log_total for x in found]
-                result = scored(own, lowest, machine)
-                size = [len(x) for x in own]
-                yield pa.record_batch([ids.values, pa.array([not t for t in train.as_py()]), pa.array(size, pa.int64()), pa.array([int((x > 0).sum()) for x in found], pa.int64()), pa.array([tokens] * len(size), pa.int64()), pa.array([float(x.sum()) for x in lowest]), pa.array(result)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    asked = local.select("block", "word").join(words, "word", "left").groupBy("block").agg(F.collect_list(F.struct("word", F.coalesce("c", F.lit(0)).alias("c"))).alias("list"))
-    listed = asked.select("block", F.col("list.word").alias("words"), F.col("list.c").alias("counts"))
-    return common.map_arrow(blocks.join(listed, "block"), traverse, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+            for ids, texts, train, signed, own in zip(*(batch.column(c) for c in ("ids", "texts", "train", "totals", "sums")), strict=True):
+                grams, total = Grams.of(texts.as_py()), np.abs(joined(signed))
+                arcs = np.zeros((grams.keys.size, 3), np.int64)
+                arcs[asked_of(grams, total)] = joined(own).reshape(-1, 3)
+                begin = np.cumsum(grams.sizes) - grams.sizes
+                base, full = (np.add.reduceat(x, begin) for x in token_scores(grams, total, arcs, mass))
+                known = np.add.reduceat((total[grams.at[0]] > 0).astype(np.int64), begin)
+                yield pa.record_batch([ids.values, pa.array([not t for t in train.as_py()]), pa.array(grams.sizes), pa.array(known), pa.array([tokens] * len(known), pa.int64()), pa.array(base), pa.array(full)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return common.map_arrow(counted.join(by_block(sums, "sums"), "block"), traverse, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
