@@ -44,7 +44,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their place in sequences of at most 4096 tokens."""
-    return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1))
+    return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, match_added=True))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

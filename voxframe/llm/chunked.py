@@ -3,6 +3,9 @@
 Both vocabularies split a text into pretokens before merging, so a text's ids are the
 ids of its space-separated chunks, one after the other, wherever the cut can't change
 the pretokens. Each worker keeps the chunks' ids in a table of bounded size.
+
+By default the strings of added tokens, such as an end of text, are text like any other, as in the library with
+``encode_special_tokens``; with ``match_added`` they become their ids, as in the library as it loads.
 """
 
 from __future__ import annotations
@@ -30,10 +33,15 @@ def _byte_alphabet() -> dict[int, str]:
 class ChunkEncoder:
     """Encodes whole texts to little-endian uint32 ids; subclasses say how texts are cut."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, match_added: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        added = self.tokenizer.get_added_tokens_decoder() if match_added else {}
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError(f"added tokens of {path} match more or less than their own string")
+        self.added = {t.content: np.asarray([k], "<u4").tobytes() for k, t in added.items()}
+        self.added_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.alphabet = _byte_alphabet()
@@ -93,6 +101,13 @@ class ChunkEncoder:
         raise NotImplementedError
 
     def encode(self, text: str) -> bytes:
+        """The ids of a whole text. What lies between added tokens is encoded as texts of their own."""
+        if self.added_pattern is None or not self.added_pattern.search(text):
+            return self.encode_plain(text)
+        parts = self.added_pattern.split(text)
+        return b"".join([self.added[t] if k % 2 else self.encode_plain(t) for k, t in enumerate(parts)])
+
+    def encode_plain(self, text: str) -> bytes:
         raise NotImplementedError
 
 
@@ -119,7 +134,7 @@ class ByteChunks(ChunkEncoder):
         self.keep(chunk, ids)
         return ids
 
-    def encode(self, text: str) -> bytes:
+    def encode_plain(self, text: str) -> bytes:
         if not text:
             return b""
         first, *rest = self.CUT.split(text) if self.ODD.search(text) else text.split(" ")
@@ -154,17 +169,17 @@ class WordChunks(ChunkEncoder):
         self.keep(chunk, ids)
         return ids
 
-    def encode(self, text: str) -> bytes:
+    def encode_plain(self, text: str) -> bytes:
         if self.ODD.search(text):
             return self.joined([c for c in self.CUT.split(text) if c])
         return self.joined(text.split())
 
 
-_LOADED: dict[tuple[type, str], ChunkEncoder] = {}
+_LOADED: dict[tuple[type, str, bool], ChunkEncoder] = {}
 
 
-def encoder(kind: type[ChunkEncoder], path: str) -> ChunkEncoder:
+def encoder(kind: type[ChunkEncoder], path: str, match_added: bool = False) -> ChunkEncoder:
     """This worker's encoder."""
-    if (kind, path) not in _LOADED:
-        _LOADED[kind, path] = kind(path)
-    return _LOADED[kind, path]
+    if (kind, path, match_added) not in _LOADED:
+        _LOADED[kind, path, match_added] = kind(path, match_added)
+    return _LOADED[kind, path, match_added]

@@ -26,16 +26,16 @@ SHARD_PIECES = 20_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY, match_added: bool = False) -> DataFrame:
     """Whole texts as pieces of at most ``capacity`` tokens: doc_id, piece, start, length, ids_crc32.
 
     A null text is empty; every document ends with ``end_id``, so each has a piece. Only
     documents longer than ``capacity`` are cut. Repeated rows are packed once each. An empty table
-    has no pieces.
+    has no pieces. With ``match_added`` the strings of added tokens become their ids.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = encoder(WordChunks, tokenizer_path), np.asarray([end_id], "<u4").tobytes()
+        coder, end = encoder(WordChunks, tokenizer_path, match_added), np.asarray([end_id], "<u4").tobytes()
         for block in common.blocks(batches):
             out: list[tuple] = []
             for doc_id, text in zip(block.column("doc_id").to_pylist(), common.texts_of(block), strict=True):

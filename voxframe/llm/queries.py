@@ -20,7 +20,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.work_path(spark, "tokens")
-    token_store.write_tokens(common.documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    token_store.write_tokens(common.documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, match_added=True)
     return token_store.digests(spark, path)
 
 
@@ -45,7 +45,7 @@ def op8_piece_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.pieces(common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1))
+    return packing.pack(packing.pieces(common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1, match_added=True))
 
 
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

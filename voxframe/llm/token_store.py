@@ -37,16 +37,17 @@ FILE_OPTIONS = {
 }
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, match_added: bool = False) -> None:
     """Encode the whole texts of (doc_id, text) and write the store at ``path``.
 
     A null text is empty and gets the end id alone. Rows are dealt by ranges of doc_id, so a
     hot source or repeated rows fall where their ids do; equal doc_ids follow each other by text.
     Null doc_ids come first. An empty table gives an empty store. Other columns are ignored.
+    With ``match_added`` the strings of added tokens become their ids.
     """
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = encoder(ByteChunks, tokenizer_path), np.asarray([end_id], "<u4").tobytes()
+        coder, end = encoder(ByteChunks, tokenizer_path, match_added), np.asarray([end_id], "<u4").tobytes()
         part, at = TaskContext.get().partitionId(), 0
         for block in common.blocks(batches, limit=2 << 20):
             found = [coder.encode(t) + end for t in common.texts_of(block)]
