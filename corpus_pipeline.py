@@ -32,9 +32,23 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of near copies."""
-    kept = minhash.near_duplicates(docs, percent=NEAR_PERCENT).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """The document with the least doc_id of each group of near copies, one row of it.
+
+    Rows that share a doc_id and their shingle set are one document; a doc_id with several texts keeps a row of each set.
+    A null doc_id belongs to no group, so rows without one are kept, save those whose shingle set another such row or a
+    row with a doc_id has: one row of a repeated text goes on. Rows without doc_id and without words all stay.
+    """
+    verdict = common.written(minhash.grouped(docs, percent=NEAR_PERCENT).select("doc_id", "set_key", "kept"), "verdict")
+    rows = verdict.where("doc_id IS NOT NULL AND kept").groupBy("doc_id").agg(F.count("*").alias("n"))
+    single = docs.join(rows.where("n = 1"), "doc_id", "left_semi")
+    others = docs.join(rows.where("n > 1"), "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id IS NULL"))
+    # the verdict has no texts: the sets of the few rows that it can't tell apart are made anew
+    key = F.when(F.size("shingles") > 0, F.col("set_key"))
+    sets = minhash.full_sets(others.select("doc_id", "text", F.struct(*docs.columns).alias("row"))).select("doc_id", key.alias("set_key"), "row")
+    sets = sets.join(verdict.where("doc_id IS NOT NULL").select("set_key", F.lit(True).alias("known")).where("set_key IS NOT NULL").distinct(), "set_key", "left")
+    blank = F.when(F.col("doc_id").isNull() & F.col("set_key").isNull(), F.monotonically_increasing_id())
+    one = sets.where("doc_id IS NOT NULL OR known IS NULL").withColumn("blank", blank).groupBy("doc_id", "set_key", "blank").agg(F.min("row").alias("row"))
+    return single.select(*docs.columns).union(one.select("row.*"))
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

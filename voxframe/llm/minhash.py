@@ -195,6 +195,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     Of repeated rows all get their doc_id's component. A null doc_id is its own component, null, and kept.
     An empty table gives an empty one; other columns are ignored.
     """
+    return grouped(docs, percent, width).drop("set_key")
+
+
+def grouped(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
+    """``near_duplicates`` with the set_key of each row, null without a set."""
     signed = common.written(signatures(docs, width), "signatures")
     classes = common.written(signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
     banded = classes.select("rep", F.explode("bands").alias("band"))
@@ -209,8 +214,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     several = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL").join(classes.select("set_key", "rep"), "set_key").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     roots = components(links.union(several))
     return (
-        signed.select("doc_id", "n_shingles")
+        signed.select("doc_id", "n_shingles", "set_key")
         .join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         .withColumn("component_id", F.coalesce("root", "doc_id"))
-        .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+        .select("doc_id", "n_shingles", "set_key", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
     )
