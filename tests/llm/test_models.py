@@ -52,9 +52,9 @@ def reference_scores(rows):
     train = [tokens[d] for d, _ in rows if zlib.crc32(str(d).encode()) % 7 != 2]
     c1 = Counter(w for t in train for w in t)
     n, v = sum(c1.values()), len(c1)
-    head = {w for w, c in c1.items() if c >= max(2, lm_score.HEAD_SHARE * n)}
+    head = {w for w, c in c1.items() if c >= lm_score.LEAST}
     grams = {k: Counter(tuple(t[i : i + k]) for t in train for i in range(len(t) - k + 1) if set(t[i : i + k]) <= head) for k in (2, 3)}
-    grams = {k: {g: c for g, c in own.items() if c >= max(2, lm_score.GRAM_SHARE * n)} for k, own in grams.items()}
+    grams = {k: {g: c for g, c in own.items() if c >= lm_score.LEAST} for k, own in grams.items()}
     p1 = lambda w: (c1[w] + 1) / (n + v + 1)
 
     def p(history, w):

@@ -43,15 +43,15 @@ def written(df: DataFrame, name: str, **options: object) -> DataFrame:
     return saved(df, work_path(df.sparkSession, name), **options)
 
 
-def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
-    """``df`` as a table in the shared folder, dealt to as many buckets as shuffles have partitions.
+def bucketed(df: DataFrame, name: str, column: str, buckets: int | None = None) -> DataFrame:
+    """``df`` as a table in the shared folder, dealt to ``buckets`` buckets, by default as many as shuffles have partitions.
 
     Later joins on ``column`` move the other side only. The name in the catalogue is a new one.
     """
     spark = df.sparkSession
     path = work_path(spark, name)
     table = path.rpartition("/")[2].replace("-", "_")
-    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", path).option("compression", "zstd").saveAsTable(table)
+    df.write.bucketBy(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", path).option("compression", "zstd").saveAsTable(table)
     spark.sparkContext._jvm.System.gc()
     return spark.table(table)
 

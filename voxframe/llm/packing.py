@@ -35,16 +35,17 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = encoder(WordChunks, tokenizer_path, match_added), np.asarray([end_id], "<u4").tobytes()
-        for block in common.blocks(batches):
-            out: list[tuple] = []
-            for doc_id, text in zip(block.column("doc_id").to_pylist(), common.texts_of(block), strict=True):
-                ids = coder.encode(text) + end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[at : at + 4 * capacity]
-                    out.append((doc_id, piece, at // 4, len(own) // 4, zlib.crc32(own)))
-            columns = list(zip(*out, strict=True))
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        coder = encoder(WordChunks, tokenizer_path, match_added)
+        for block in common.blocks(batches, limit=2 << 20):
+            ids, ends = coder.encode_many(common.texts_of(block), end_id)
+            data, sizes = memoryview(ids.astype("<u4", copy=False)).cast("B"), np.diff(ends, prepend=0)
+            parts = -(-sizes // capacity)
+            of = np.repeat(np.arange(sizes.size), parts)
+            piece = np.arange(of.size) - np.repeat(np.cumsum(parts) - parts, parts)
+            begin = (ends - sizes)[of] + piece * capacity
+            stop = np.minimum(begin + capacity, ends[of])
+            sums = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(begin.tolist(), stop.tolist(), strict=True)]
+            yield pa.record_batch([block.column("doc_id").take(pa.array(of)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(stop - begin), pa.array(sums, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return common.map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), cut, PIECE_SCHEMA)
 

@@ -19,22 +19,46 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """64-bit hashes of the words of lower-cased UTF-8 ``data``, in order.
-
-    A word's hash is a polynomial of its bytes, times its length's own factor, mixed.
-    """
+def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of ``data`` begins, and its hash."""
     raw = np.frombuffer(data.translate(LOWER), np.uint8)
     inside = ~_IS_SPACE[raw]
     edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not begin.size:
-        return np.zeros(0, np.uint64)
-    place = np.arange(raw.size) - np.repeat(begin, np.diff(np.append(begin, raw.size))) if begin[0] == 0 else np.concatenate([np.zeros(begin[0], np.int64), np.arange(begin[0], raw.size) - np.repeat(begin, np.diff(np.append(begin, raw.size)))])
+        return begin, np.zeros(0, np.uint64)
+    place = np.arange(raw.size) - np.repeat(np.append(0, begin), np.diff(np.concatenate([[0], begin, [raw.size]])))
     longest = int((end - begin).max())
     powers = _POWERS if longest <= _POWERS.size else np.cumprod(np.full(longest, _BASE, np.uint64))
     value = np.where(inside, (raw.astype(np.uint64) + np.uint64(1)) * powers[np.minimum(place, powers.size - 1)], np.uint64(0))
-    return mixed(np.add.reduceat(value, begin) ^ ((end - begin).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
+    return begin, mixed(np.add.reduceat(value, begin) ^ ((end - begin).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words of lower-cased UTF-8 ``data``, in order.
+
+    A word's hash is a polynomial of its bytes, times its length's own factor, mixed.
+    """
+    return _hashed(data)[1]
+
+
+def word_hashes_of(texts: list[str], end: np.uint64, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """How many hashes each text has, and the hashes of all texts in a row: those of its words, then ``end``.
+
+    Texts are hashed together in blocks of about ``block`` bytes.
+    """
+    raw, sizes, out, lo, held = [t.encode() for t in texts], [], [], 0, 0
+    for hi, t in enumerate(raw, 1):
+        held += len(t) + 1
+        if held < block and hi < len(raw):
+            continue
+        own = raw[lo:hi]
+        begin, hashes = _hashed(b"\n".join(own))
+        last = np.searchsorted(begin, np.cumsum([len(t) + 1 for t in own]) - 1)
+        sizes.append(np.diff(last, prepend=0) + 1)
+        out.append(np.insert(hashes, last, end))
+        lo, held = hi, 0
+    return np.concatenate(sizes), np.concatenate(out)
 
 
 def shingle_set(data: bytes, width: int = 5) -> np.ndarray:

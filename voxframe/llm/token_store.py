@@ -47,14 +47,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     """
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = encoder(ByteChunks, tokenizer_path, match_added), np.asarray([end_id], "<u4").tobytes()
+        coder = encoder(ByteChunks, tokenizer_path, match_added)
         part, at = TaskContext.get().partitionId(), 0
         for block in common.blocks(batches, limit=2 << 20):
-            found = [coder.encode(t) + end for t in common.texts_of(block)]
-            lengths = np.fromiter((len(x) // 4 for x in found), np.int64, len(found))
-            ends = np.concatenate([[0], np.cumsum(lengths)])
-            ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(found), np.int32)))
-            yield pa.record_batch([block.column("doc_id"), pa.array(np.full(len(found), part, np.int32)), pa.array(at + ends[:-1]), pa.array(lengths.astype(np.int32)), ids], names=["doc_id", "part", "local_start", "n_tokens", "ids"])
+            found, after = coder.encode_many(common.texts_of(block), end_id)
+            ends = np.concatenate([[0], after])
+            ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found.view(np.int32)))
+            yield pa.record_batch([block.column("doc_id"), pa.array(np.full(after.size, part, np.int32)), pa.array(at + ends[:-1]), pa.array(np.diff(ends).astype(np.int32)), ids], names=["doc_id", "part", "local_start", "n_tokens", "ids"])
             at += int(ends[-1])
 
     dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
