@@ -100,7 +100,8 @@ class Grams:
         begin = np.cumsum(sizes) - sizes
         inner = np.ones(words.size, bool)
         inner[begin] = False
-        keys, (word, within) = places([words, runs[1][inner]])
+        # keys of words are even, those of pairs odd
+        keys, (word, within) = places([words & ~np.uint64(1), runs[1][inner] | np.uint64(1)])
         pair = np.full(words.size, -1, np.int32)
         pair[inner] = within
         whole = inner.copy()
@@ -158,9 +159,10 @@ ROWS = "slice int, block long, keys binary, values binary"
 
 
 def summed(rows: DataFrame, width: int, owners: bool, partitions: int) -> DataFrame:
-    """(block, slice, values): the values of equal keys added over all blocks, returned to each block in its keys' order.
+    """(block, slice, values, n, v): the values of equal keys added over all blocks, returned to each block in its keys' order.
 
-    With ``owners`` a sum is doubled, and one more for one of the blocks that hold the key.
+    With ``owners`` a sum is doubled, and one more for one of the blocks that hold the key; n is then the sum over the
+    even keys of the slice, in one of its rows, and v how many of them have one.
     """
 
     def merge(slice_: int, held: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -170,11 +172,14 @@ def summed(rows: DataFrame, width: int, owners: bool, partitions: int) -> DataFr
         sums = np.add.reduceat(values[order], first, axis=0) << int(owners)
         out = np.empty_like(values)
         out[order] = np.repeat(sums, np.diff(np.append(first, keys.size)), axis=0)
+        n = v = 0
         if owners:
             out[order[first]] += 1
+            even = sums[keys[order[first]] & np.uint64(1) == 0, 0] >> 1
+            n, v = int(even.sum()), int((even > 0).sum())
         ends = np.cumsum([k.size for _, k, _ in held])
         parts = [narrow(out[e - k.size : e].ravel()) for e, (_, k, _) in zip(ends, held, strict=True)]
-        return pa.record_batch([pa.array([b for b, _, _ in held], pa.int64()), pa.array([slice_] * len(held), pa.int32()), pa.array(parts, pa.binary())], names=["block", "slice", "values"])
+        return pa.record_batch([pa.array([b for b, _, _ in held], pa.int64()), pa.array([slice_] * len(held), pa.int32()), pa.array(parts, pa.binary()), *[pa.array([x, *[0] * (len(held) - 1)], pa.int64()) for x in (n, v)]], names=["block", "slice", "values", "n", "v"])
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = -1, []
@@ -188,7 +193,7 @@ def summed(rows: DataFrame, width: int, owners: bool, partitions: int) -> DataFr
         if held:
             yield merge(now, held)
 
-    return common.map_arrow(rows.repartition(partitions, "slice").sortWithinPartitions("slice"), merged, "block long, slice int, values binary")
+    return common.map_arrow(rows.repartition(partitions, "slice").sortWithinPartitions("slice"), merged, "block long, slice int, values binary, n long, v long")
 
 
 def by_block(sums: DataFrame, name: str, partitions: int) -> DataFrame:
@@ -306,13 +311,7 @@ def score(docs: DataFrame) -> DataFrame:
     def state_rows(block, texts, signed, signed3):
         grams, signed, signed3 = Grams.of(texts.as_py()), joined(signed), joined(signed3)
         asked = asked_of(grams.with_triples(signed >> 1), signed >> 1)
-        rows = rows_of(block.as_py(), grams.keys[asked], state_sums(grams, (signed, signed3))[asked], bits)
-        word = np.zeros(grams.keys.size, bool)
-        word[grams.at[0]] = True
-        owned = signed[word & (signed & 1 == 1)] >> 1
-        owned = owned[owned > 0]
-        extra = [pa.array([int(x), *[0] * (rows.num_rows - 1)], pa.int64()) for x in (owned.sum(), owned.size)]
-        return pa.record_batch([*rows.columns, *extra], names=[*rows.schema.names, "n", "v"])
+        return rows_of(block.as_py(), grams.keys[asked], state_sums(grams, (signed, signed3))[asked], bits)
 
     def counts(rows, width, owners, name):
         return common.written(summed(rows, width, owners, partitions), name, compression="zstd")
@@ -321,10 +320,9 @@ def score(docs: DataFrame) -> DataFrame:
     known = blocks.join(by_block(low, "totals", partitions), "block")
     high = counts(each_block(known, ("block", "texts", "train", "totals"), triple_rows, ROWS), 1, True, "triple-sums")
     known = known.join(by_block(high, "triples", partitions), "block", "left")
-    states = common.written(each_block(known, ("block", "texts", "totals", "triples"), state_rows, ROWS + ", n long, v long"), "states", compression="zstd")
-    whole = states.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    sums = counts(each_block(known, ("block", "texts", "totals", "triples"), state_rows, ROWS), 3, False, "state-sums")
+    whole = low.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     tokens, distinct = int(whole["n"] or 0), int(whole["v"] or 0)
-    sums = counts(states.select("slice", "block", "keys", "values"), 3, False, "state-sums")
 
     def traverse(ids, texts, train, signed, signed3, own):
         totals, triples = joined(signed) >> 1, joined(signed3) >> 1
