@@ -25,6 +25,8 @@ MARKS = frozenset(".,;:!?|#$%&*()")
 #: Places of a worker's table as a power of two (24 bytes each), ids of its pool (4 bytes each), and entries of
 #: its two dictionaries (pretokens, chunks of 16 to 64 bytes; about 250 bytes an entry): some 100 MB.
 TABLE_BITS, POOL_IDS, DICT_ENTRIES = 20, 4 << 20, 100_000
+#: Chunks that are looked up at once.
+WINDOW = 1 << 16
 #: Longest chunk that is two numbers, and that a dictionary keeps.
 SHORT, LONG = 15, 64
 #: What a byte is to the rules of cutting.
@@ -151,10 +153,16 @@ class ChunkEncoder:
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         ends = np.cumsum(lengths + 1) - 1
         starts, stops = self.cuts(raw, ends - lengths, ends)
-        source, place, count = self.looked_up(data, raw, starts, stops - starts)
-        after = np.cumsum(count, dtype=np.int64)
-        ids = source[np.repeat(place - after + count, count) + np.arange(int(after[-1]) if after.size else 0)]
+        parts, counts = [], []
+        for lo in range(0, starts.size, WINDOW):
+            own = starts[lo : lo + WINDOW]
+            source, place, count = self.looked_up(data, raw, own, stops[lo : lo + WINDOW] - own)
+            after = np.cumsum(count)
+            parts.append(source[np.repeat(place - after + count, count) + np.arange(int(after[-1]))])
+            counts.append(count)
+        after = np.cumsum(np.concatenate(counts), dtype=np.int64) if counts else np.zeros(0, np.int64)
         of_texts = np.concatenate([[0], after])[np.searchsorted(starts, ends)]
+        ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
         return ids, np.diff(of_texts, prepend=0)
 
     def encode_many(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
