@@ -47,3 +47,19 @@ def test_every_order_gives_the_same_verdict(spark):
 def test_plan_has_no_python(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert "Python" not in quality.report(docs)._jdf.queryExecution().toString()
+
+
+def test_filter_equals_the_verdict_and_makes_each_count_once(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = {r["doc_id"] for r in quality.report(docs).collect() if r["kept"]}
+    good = quality.passing(docs.withColumn("n_words", quality.F.lit(99)))
+    assert {r["doc_id"] for r in good.collect()} == want and {r["n_words"] for r in good.collect()} == {99}
+    plan = good._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64(") == 1 and plan.count("split(") == 2  # words and lines
+
+
+def test_order_is_stable_and_counts_what_is_left(spark):
+    docs = spark.createDataFrame([(k, "# " * 40 if k % 2 else f"plain words of a quiet text about {k} rivers and of the sea") for k in range(60)], "doc_id long, text string")
+    orders = {tuple(r.name for r in quality.ordered(docs, trial)) for trial in (quality.rules(), quality.rules()[::-1]) for _ in range(2)}
+    assert len(orders) == 1 and next(iter(orders))[0] == "symbols" and next(iter(orders))[-1] == "repeated_words"
+    assert [r.name for r in quality.ordered(docs.limit(0), quality.rules())]
