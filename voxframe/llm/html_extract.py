@@ -111,11 +111,11 @@ class Labeller:
             self.w |= {f"x{d}": norm(wide, 4 * HIDDEN), f"h{d}": norm(HIDDEN, 4 * HIDDEN), f"c{d}": np.repeat([0.0, 1.0, 0.0, 0.0], HIDDEN)}
 
     def inputs(self, page: list[tuple[str, tuple[int, ...], int]]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-        """Vectors of a page's blocks: mean path and word embeddings and a few facts."""
+        """Vectors of a page's blocks: summed path embeddings, the mean embedding of all words and a few facts."""
         paths = [np.array(p or (0,)) for _, p, _ in page]
-        words = [np.array([_slot(w, WORD_SLOTS) for w in t.split()[:64]]) for t, _, _ in page]
+        words = [np.array([zlib.crc32(w) % WORD_SLOTS for w in t.encode().split(b" ")]) for t, _, _ in page]
         facts = np.array([(np.log1p(len(t)) / 8, min(1.0, linked / max(1, len(t))), t[-1] in ".!?", 1.0) for t, _, linked in page])
-        return np.concatenate([np.array([self.w["path"][p].sum(axis=0) for p in paths]), np.array([self.w["word"][w].mean(axis=0) for w in words]), facts], axis=1), paths, words
+        return np.concatenate([np.array([self.w["path"][p].sum(axis=0) for p in paths]), np.array([np.bincount(w, minlength=WORD_SLOTS) @ self.w["word"] / w.size if w.size > WORD_SLOTS else self.w["word"][w].mean(axis=0) for w in words]), facts], axis=1), paths, words
 
     def run(self, x: np.ndarray, mask: np.ndarray, d: str) -> tuple[np.ndarray, list]:
         """One direction over x (steps x pages x inputs); masked steps leave the state as it is."""
