@@ -2,8 +2,8 @@
 
 ``encode`` stores a payload without loss: each byte is one quantized coefficient of a grey image, in
 scan order, all quantizers 1, so an entropy decoder gets the bytes back. The Huffman tables suit text,
-and a restart marker follows every three blocks. ``decode_many`` reads any baseline file with
-one interleaved scan: all restart intervals of all files advance side by side, a symbol at a time. The
+and a restart marker follows every three blocks. ``decode_many`` reads any baseline file, with
+one interleaved scan or several: all restart intervals of all files advance side by side, a symbol at a time. The
 DC coefficients alone give the luminance thumbnail.
 """
 
@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, functions as F
 from voxframe.llm import common
 
 UNIT, ZERO_BYTE, RESTART = 192, 113, 3
+#: Blocks that are encoded at once, whole restart intervals.
+SLICE = 1024 * RESTART
 
 
 def _codes(lengths: dict[int, int]) -> tuple[bytes, bytes, np.ndarray, np.ndarray]:
@@ -51,16 +53,9 @@ def _size_of(values: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(np.abs(values) + 1)).astype(np.int64)
 
 
-def encode(payload: bytes) -> bytes:
-    """A grey baseline JPEG whose coefficients are the payload's bytes; its length must be a positive multiple of 192."""
-    blocks = len(payload) // 64
-    wide = int(np.ceil(np.sqrt(blocks)))
-    high = -(-blocks // wide)
-    if max(wide, high) > 8191:
-        raise ValueError("payload beyond the largest JPEG")
-    c = np.zeros((wide * high, 64), np.int64)
-    c[:blocks] = np.frombuffer(payload, np.uint8).reshape(-1, 64).astype(np.int64) - ZERO_BYTE
-    total = wide * high
+def _scan(c: np.ndarray, interval: int) -> bytes:
+    """The entropy-coded restart intervals of blocks ``c``, the first of which is number ``interval``, with the markers before them."""
+    total = len(c)
     step = c[:, 0].copy()
     step[1:] -= np.where(np.arange(1, total) % RESTART == 0, 0, c[:-1, 0])
     value, length = np.zeros((total, 65), np.uint64), np.zeros((total, 65), np.int64)
@@ -106,11 +101,40 @@ def encode(payload: bytes) -> bytes:
     scan = np.zeros(raw.size + int(full.sum()) + 2 * (own.size - 1), np.uint8)
     scan[place] = raw
     border = place[(start[1:-1] // 8)] - 2
-    scan[border], scan[border + 1] = 0xFF, 0xD0 + np.arange(own.size - 1) % 8
+    scan[border], scan[border + 1] = 0xFF, 0xD0 + (interval + np.arange(own.size - 1)) % 8
+    return (bytes([0xFF, 0xD0 + (interval - 1) % 8]) if interval else b"") + scan.tobytes()
+
+
+def encode(payload: bytes) -> bytes:
+    """A grey baseline JPEG whose coefficients are the payload's bytes; its length must be a positive multiple of 192.
+
+    Restart intervals depend on nothing before them, so a long payload is coded in slices of bounded memory.
+    """
+    blocks = len(payload) // 64
+    wide = int(np.ceil(np.sqrt(blocks)))
+    high = -(-blocks // wide)
+    if max(wide, high) > 8191:
+        raise ValueError("payload beyond the largest JPEG")
+    scans = []
+    for lo in range(0, wide * high, SLICE):
+        c = np.zeros((min(SLICE, wide * high - lo), 64), np.int64)
+        own = np.frombuffer(payload, np.uint8)[64 * lo : 64 * (lo + SLICE)].reshape(-1, 64)
+        c[: len(own)] = own.astype(np.int64) - ZERO_BYTE
+        scans.append(_scan(c, lo // RESTART))
     head = b"\xff\xd8" + _segment(0xFE, b"payload=%d" % len(payload)) + _segment(0xDB, b"\0" + b"\1" * 64)
     head += _segment(0xC0, bytes([8]) + (8 * high).to_bytes(2, "big") + (8 * wide).to_bytes(2, "big") + bytes([1, 1, 0x11, 0]))
     head += _segment(0xC4, b"\x00" + _DC[0] + _DC[1] + b"\x10" + _AC[0] + _AC[1]) + _segment(0xDD, RESTART.to_bytes(2, "big"))
-    return head + _segment(0xDA, bytes([1, 1, 0, 0, 63, 0])) + scan.tobytes() + b"\xff\xd9"
+    return head + _segment(0xDA, bytes([1, 1, 0, 0, 63, 0])) + b"".join(scans) + b"\xff\xd9"
+
+
+@dataclass
+class Scan:
+    """Components of a scan with the Huffman tables of each, and its restart intervals' bytes and where each starts."""
+
+    parts: list[tuple[int, tuple[bytes, bytes], tuple[bytes, bytes]]]
+    restart: int
+    raw: np.ndarray
+    starts: np.ndarray
 
 
 @dataclass
@@ -124,20 +148,33 @@ class Picture:
     quant: dict[int, np.ndarray] = field(default_factory=dict)
     huffman: dict[int, tuple[bytes, bytes]] = field(default_factory=dict)
     components: list[list[int]] = field(default_factory=list)
-    scan: np.ndarray | None = None
+    scans: list[Scan] = field(default_factory=list)
     coefficients: np.ndarray | None = None
     owner: np.ndarray | None = None
 
-    def layout(self) -> tuple[list[int], int]:
-        """Component of each block of a coded unit, and the number of units."""
-        if len(self.components) == 1:
-            return [0], -(-self.width // 8) * -(-self.height // 8)
-        across, down = max(c[1] for c in self.components), max(c[2] for c in self.components)
-        return [k for k, c in enumerate(self.components) for _ in range(c[1] * c[2])], -(-self.width // (8 * across)) * -(-self.height // (8 * down))
+    def grid(self, k: int) -> tuple[int, int]:
+        """Rows and columns of the blocks of component ``k`` in a scan of its own."""
+        across, down = (max(c[x] for c in self.components) for x in (1, 2))
+        return tuple(-(-(-(-n * self.components[k][x] // most)) // 8) for n, x, most in ((self.height, 2, down), (self.width, 1, across)))
+
+    def layout(self, scan: Scan) -> tuple[list[int], int]:
+        """Place in the scan's parts of each block of a coded unit, and the number of units."""
+        if len(scan.parts) == 1:
+            rows, columns = self.grid(scan.parts[0][0])
+            return [0], rows * columns
+        across, down = (max(c[x] for c in self.components) for x in (1, 2))
+        return [j for j, (k, _, _) in enumerate(scan.parts) for _ in range(self.components[k][1] * self.components[k][2])], -(-self.width // (8 * across)) * -(-self.height // (8 * down))
 
 
 def parse(data: bytes) -> Picture:
-    """Markers up to the scan; files that are not baseline with one interleaved scan are refused."""
+    """Markers and scans of a baseline file, one interleaved scan or several; others are refused."""
+    try:
+        return _parsed(data)
+    except (IndexError, KeyError) as broken:
+        raise ValueError("broken file") from broken
+
+
+def _parsed(data: bytes) -> Picture:
     if data[:2] != b"\xff\xd8":
         raise ValueError("no JPEG")
     out, at = Picture(), 2
@@ -148,6 +185,8 @@ def parse(data: bytes) -> Picture:
         if marker == 0xFF:
             at += 1
             continue
+        if marker == 0xD9:
+            break
         size = int.from_bytes(data[at + 2 : at + 4], "big")
         body = data[at + 4 : at + 2 + size]
         at += 2 + size
@@ -164,7 +203,9 @@ def parse(data: bytes) -> Picture:
             if body[0] != 8:
                 raise ValueError("8-bit samples only")
             out.height, out.width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
-            out.components = [[body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k], 0, 0] for k in range(body[5])]
+            out.components = [[body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]] for k in range(body[5])]
+            if not out.components or len(out.components) > 4 or not (out.width and out.height) or any(not 1 <= x <= 4 for c in out.components for x in c[1:3]):
+                raise ValueError("bad frame")
         elif 0xC2 <= marker <= 0xCF and marker != 0xC4:
             raise ValueError("not baseline")
         elif marker == 0xC4:
@@ -176,15 +217,18 @@ def parse(data: bytes) -> Picture:
         elif marker == 0xDD:
             out.restart = int.from_bytes(body[:2], "big")
         elif marker == 0xDA:
-            if body[0] != len(out.components):
-                raise ValueError("one interleaved scan only")
-            for k in range(body[0]):
-                for c in out.components:
-                    if c[0] == body[1 + 2 * k]:
-                        c[4], c[5] = body[2 + 2 * k] >> 4, body[2 + 2 * k] & 15
-            out.scan = np.frombuffer(data, np.uint8)[at:]
-            return out
-    raise ValueError("no scan")
+            ids = [c[0] for c in out.components]
+            chosen = [(body[1 + 2 * k], body[2 + 2 * k]) for k in range(body[0])]
+            if any(c not in ids for c, _ in chosen):
+                raise ValueError("scan of an unknown component")
+            raw, starts, size = _intervals(np.frombuffer(data, np.uint8)[at:])
+            out.scans.append(Scan([(ids.index(c), out.huffman[t >> 4], out.huffman[0x10 | t & 15]) for c, t in chosen], out.restart, raw, starts))
+            at += size
+    if sorted(k for s in out.scans for k, _, _ in s.parts) != list(range(len(out.components))) or not out.scans:
+        raise ValueError("not one scan of each component")
+    if any(c[3] not in out.quant for c in out.components):
+        raise ValueError("no quantizer")
+    return out
 
 
 _LOOKUPS: dict[tuple[bytes, bytes], np.ndarray] = {}
@@ -205,20 +249,18 @@ def _lookup(counts: bytes, symbols: bytes) -> np.ndarray:
     return _LOOKUPS[counts, symbols]
 
 
-def _intervals(scan: np.ndarray) -> list[np.ndarray] | tuple[np.ndarray, np.ndarray]:
-    """The scan's bytes without stuffing and markers, and where each restart interval starts in them."""
+def _intervals(scan: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The scan's bytes without stuffing and markers, where each restart interval starts in them, and the scan's size in the file."""
     full = np.flatnonzero(scan[:-1] == 0xFF)
     after = scan[full + 1]
     ends = full[(after != 0) & ((after < 0xD0) | (after > 0xD7)) & (after != 0xFF)]
     stop = int(ends[0]) if ends.size else scan.size
     full, after = full[full < stop], after[full < stop]
-    keep = np.ones(stop, bool)
-    keep[full[after == 0] + 1] = False
     marks = full[(after >= 0xD0) & (after <= 0xD7)]
-    keep[marks] = False
-    keep[marks + 1] = False
-    left = np.cumsum(keep)
-    return scan[:stop][keep], np.concatenate([[0], left[marks]])
+    gone = np.sort(np.concatenate([full[after == 0] + 1, marks, marks + 1]))
+    keep = np.ones(stop, bool)
+    keep[gone] = False
+    return scan[:stop][keep], np.concatenate([[0], marks - np.searchsorted(gone, marks)]), stop
 
 
 def decode_many(files: list[bytes]) -> list[Picture]:
@@ -229,33 +271,32 @@ def decode_many(files: list[bytes]) -> list[Picture]:
     chunks, bit, base, blocks, layout_of, layouts, shapes = [], [], [], [], [], [], []
     held, made = 0, 0
     for p in pictures:
-        order, units = p.layout()
-        raw, starts = _intervals(p.scan)
-        per = p.restart or units
-        n = -(-units // per)
-        if starts.size != n:
-            raise ValueError("restart markers missing")
-        chunks += [raw, np.zeros(8, np.uint8)]
-        bit.append((held + starts) * 8)
-        held += raw.size + 8
-        first = np.arange(n) * per
-        base.append(made + first * len(order))
-        blocks.append((np.minimum(first + per, units) - first) * len(order))
-        shape = tuple((k, number(p.huffman[p.components[k][4]]), number(p.huffman[0x10 | p.components[k][5]])) for k in order)
-        if shape not in layouts:
-            layouts.append(shape)
-        layout_of.append(np.full(n, layouts.index(shape)))
-        shapes.append((made, units * len(order), order, units))
-        made += units * len(order)
+        for scan in p.scans:
+            order, units = p.layout(scan)
+            per = scan.restart or units
+            n = -(-units // per)
+            if scan.starts.size != n:
+                raise ValueError("restart markers missing")
+            chunks += [scan.raw, np.zeros(8, np.uint8)]
+            bit.append((held + scan.starts) * 8)
+            held += scan.raw.size + 8
+            first = np.arange(n) * per
+            base.append(made + first * len(order))
+            blocks.append((np.minimum(first + per, units) - first) * len(order))
+            shape = tuple((j, number(scan.parts[j][1]), number(scan.parts[j][2])) for j in order)
+            if shape not in layouts:
+                layouts.append(shape)
+            layout_of.append(np.full(n, layouts.index(shape)))
+            shapes.append((p, made, units * len(order), np.tile([scan.parts[j][0] for j in order], units)))
+            made += units * len(order)
     if not pictures:
         return []
     longest = max(map(len, layouts))
     component, dc, ac = (np.array([[x[k] for x in s] + [0] * (longest - len(s)) for s in layouts]) for k in range(3))
     period = np.array([len(s) for s in layouts])
     lookup = np.concatenate([_lookup(*spec) for spec in tables])
-    data = np.concatenate(chunks).astype(np.int64)
-    words = np.zeros(data.size, np.int64)
-    words[:-4] = data[:-4] << 32 | data[1:-3] << 24 | data[2:-2] << 16 | data[3:-1] << 8 | data[4:]
+    data = np.concatenate(chunks)
+    eight = np.ndarray(data.size - 7, ">u8", data, strides=(1,))
     bit, base, blocks, kind = (np.concatenate(x).astype(np.int64) for x in (bit, base, blocks, layout_of))
     out = np.zeros((made, 64), np.int16)
     lane = np.arange(bit.size)
@@ -265,7 +306,7 @@ def decode_many(files: list[bytes]) -> list[Picture]:
         within = block % period[kind]
         first = at == 0
         table = np.where(first, dc[kind, within], ac[kind, within])
-        word = words[bit >> 3] << (bit & 7)
+        word = (eight[bit >> 3] >> np.uint64(24)).astype(np.int64) << (bit & 7)
         found = lookup[(table << 16) + (word >> 24 & 0xFFFF)]
         if not found.all():
             raise ValueError("bad code")
@@ -288,17 +329,31 @@ def decode_many(files: list[bytes]) -> list[Picture]:
         if done.any():
             go = ~done
             lane, bit, base, blocks, kind, block, at = (x[go] for x in (lane, bit, base, blocks, kind, block, at))
-    for p, (lo, n, order, units) in zip(pictures, shapes, strict=True):
-        p.coefficients, p.owner = out[lo : lo + n], np.tile(order, units)
+    for p in pictures:
+        own = [(out[lo : lo + n], owner) for q, lo, n, owner in shapes if q is p]
+        p.coefficients, p.owner = (x[0] if len(x) == 1 else np.concatenate(x) for x in zip(*own, strict=True))
     return pictures
 
 
+def decode_each(files: list[bytes | None]) -> list[Picture | None]:
+    """``decode_many``, with None for a null and for a file that it refuses."""
+    held = [k for k, f in enumerate(files) if f is not None]
+    out: list[Picture | None] = [None] * len(files)
+    try:
+        for k, p in zip(held, decode_many([files[k] for k in held]), strict=True):
+            out[k] = p
+    except (ValueError, IndexError):
+        if len(held) > 1:
+            out = [decode_each([f])[0] for f in files]
+    return out
+
+
 def thumbnail(p: Picture) -> np.ndarray:
     """One luminance sample a block, from the DC coefficients."""
     c = p.components[0]
     dc = p.coefficients[p.owner == 0, 0].astype(np.int64) * int(p.quant[c[3]][0])
-    if len(p.components) == 1:
-        grid = dc.reshape(-(-p.height // 8), -(-p.width // 8))
+    if any(len(s.parts) == 1 and s.parts[0][0] == 0 for s in p.scans):
+        grid = dc.reshape(p.grid(0))
     else:
         across, down = max(x[1] for x in p.components), max(x[2] for x in p.components)
         wide, high = -(-p.width // (8 * across)), -(-p.height // (8 * down))
@@ -316,9 +371,12 @@ def average_hash(grid: np.ndarray) -> str:
     return np.packbits((mean > mean.mean()).ravel()).tobytes().hex()
 
 
-def payload_of(p: Picture) -> bytes:
-    n = int(p.comment.removeprefix(b"payload="))
-    return (p.coefficients.ravel()[:n] + ZERO_BYTE).astype(np.uint8).tobytes()
+def payload_of(p: Picture) -> bytes | None:
+    """The bytes that ``encode`` stored; None for a file that it didn't make."""
+    said = p.comment.removeprefix(b"payload=")
+    if said == p.comment or not said.isdigit():
+        return None
+    return (p.coefficients.ravel()[: int(said)] + ZERO_BYTE).astype(np.uint8).tobytes()
 
 
 def media_table(docs: DataFrame) -> DataFrame:
@@ -334,16 +392,20 @@ def media_table(docs: DataFrame) -> DataFrame:
 
 
 def features(media: DataFrame) -> DataFrame:
-    """Digests and features of stored JPEG payloads: dimensions and thumbnail hash; every row of the input gets one."""
+    """Digests and features of stored JPEG payloads: dimensions and thumbnail hash; every row of the input gets one.
+
+    A file without a payload has its feature and no payload digests; a refused file has only its size and digest, a null nothing.
+    """
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches, "media", limit=2 << 20):
             files = block.column("media").to_pylist()
             rows = []
-            for data, p in zip(files, decode_many(files), strict=True):
-                payload = payload_of(p)
-                feature = f"{p.width}x{p.height}:{average_hash(thumbnail(p))}"
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature))
+            for data, p in zip(files, decode_each(files), strict=True):
+                payload = payload_of(p) if p else None
+                of_payload = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:])) if payload is not None else (None,) * 3
+                of_file = (len(data), hashlib.sha256(data).hexdigest()) if data is not None else (None, None)
+                rows.append((*of_payload, *of_file, f"{p.width}x{p.height}:{average_hash(thumbnail(p))}" if p else None))
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
             yield pa.record_batch([block.column("doc_id"), block.column("n_bytes"), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]], names=names)
