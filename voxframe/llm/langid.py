@@ -14,7 +14,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from voxframe.llm import common
 from voxframe.llm.shingles import mixed
@@ -31,7 +31,7 @@ FAMILIES = {
     "east_asian": ["zh", "ja", "ko"],
 }
 SLOTS = 1 << 13
-#: Most training texts of a language: the bound of the fitted sample.
+#: Distinct training texts of a language at most: the bound of the fitted sample.
 SAMPLE_TEXTS = 600
 LETTER = regex.compile(r"\p{L}")
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else (b if b >= 97 and b <= 122 or b >= 128 or b == 39 else 32) for b in range(256))
@@ -100,22 +100,25 @@ class Model:
 def fit(train: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> Model:
     """Learn from (text, lang) of labelled rows with a letter.
 
-    At most about ``sample_texts`` rows of each language, chosen by a hash of the text, are used; executors
+    Of each language the ``sample_texts`` distinct texts with a letter that have the least hashes are used, so a text that
+    is repeated a million times is one text and no language takes another's place; executors
     turn them to sparse features. Rows without a language are left out; no rows give a model without languages.
     """
-    train = train.where("lang IS NOT NULL AND text IS NOT NULL").select("text", F.col("lang").cast("string"))
-    counts = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    train = train.where("lang IS NOT NULL").where(F.col("text").rlike(r"\p{L}")).select("text", F.col("lang").cast("string"), F.pmod(F.xxhash64("text"), F.lit(1 << 40)).alias("h"))
+    counts = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not counts:
         return Model([], [], np.zeros((SLOTS + 1, 0)), [])
-    share = F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 1.2 * sample_texts / n)))]), F.col("lang"))
-    chosen = train.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share * 1_000_003)
+    # a first cut that leaves each language somewhat more than its sample, then its least hashes
+    share = F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 1.5 * (sample_texts + 50) / max(1, n))))]), F.col("lang"))
+    distinct = train.where(F.col("h") < share * (1 << 40)).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    chosen = distinct.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= sample_texts).select("text", "lang")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches):
-            rows = [(lang, *slots_of(t)) for lang, t in zip(block.column("lang").to_pylist(), common.texts_of(block), strict=True) if LETTER.search(t)]
+            rows = [(lang, *slots_of(t)) for lang, t in zip(block.column("lang").to_pylist(), common.texts_of(block), strict=True)]
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1].astype(np.int16) for r in rows], pa.list_(pa.int16())), pa.array([r[2].astype(np.float32) for r in rows], pa.list_(pa.float32()))], names=["lang", "at", "value"])
 
-    rows = common.map_arrow(chosen, featured, "lang string, at array<short>, value array<float>").limit(2 * sample_texts * len(counts)).toArrow().combine_chunks()
+    rows = common.map_arrow(chosen, featured, "lang string, at array<short>, value array<float>").toArrow().combine_chunks()
     names = np.array(rows.column("lang").to_pylist(), object)
     x = np.zeros((len(names), SLOTS), np.float32)
     for k, (at, value) in enumerate(zip(rows.column("at").to_pylist(), rows.column("value").to_pylist(), strict=True)):
