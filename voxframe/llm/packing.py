@@ -22,6 +22,8 @@ from voxframe.llm import common
 from voxframe.llm.chunked import WordChunks, encoder
 
 CAPACITY = 4096
+#: Documents of a sequence at most; attention is computed in square tiles of so many tokens.
+MAX_DOCUMENTS, TILE = 512, 128
 SHARD_PIECES = 20_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -36,7 +38,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(WordChunks, tokenizer_path, match_added)
-        for block in common.blocks(batches, limit=2 << 20):
+        for block in common.blocks(batches, limit=1 << 20):
             ids, ends = coder.encode_many(common.texts_of(block), end_id)
             data, sizes = memoryview(ids.astype("<u4", copy=False)).cast("B"), np.diff(ends, prepend=0)
             parts = -(-sizes // capacity)
@@ -63,7 +65,7 @@ def best_fit(
     """
     weights = np.ones(capacities.size) if weights is None else weights
     scaled, share = demands / capacities, weights / capacities
-    least = np.minimum.accumulate(demands[::-1, 0])[::-1] if len(demands) else np.zeros(0)
+    least = np.minimum.accumulate(demands[::-1], axis=0)[::-1]
     residual = np.empty((256, capacities.size))
     names = np.empty(256, np.int64)
     live, opened, bins = 0, 0, np.empty(len(demands), np.int64)
@@ -84,28 +86,35 @@ def best_fit(
             at, live, opened = live, live + 1, opened + 1
         residual[at] -= need
         bins[i] = names[at]
-        if residual[at, 0] < least[min(i + 1, len(least) - 1)] or (residual[at] <= 0).any():
+        if (residual[at] < least[min(i + 1, len(least) - 1)]).any():
             live -= 1
             residual[at], names[at] = residual[live], names[live]
     return bins, opened
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, max_documents: int | None = None, attention: int | None = None, rule: str = "norm") -> DataFrame:
+def attention_cost(length: np.ndarray, tile: int) -> np.ndarray:
+    """What a kernel computes for a piece of its own attention: whole tiles of the square of its length."""
+    return np.square(np.ceil(length / tile) * tile)
+
+
+def pack(cut: DataFrame, capacity: int = CAPACITY, max_documents: int = MAX_DOCUMENTS, attention: float | None = None, rule: str = "norm", tile: int = TILE, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """Assign pieces (doc_id, piece, start, length, ...) to sequences: adds sequence_id and offset.
 
-    ``max_documents`` and ``attention`` (sum of squared lengths) bound a sequence too; by default
-    they are as wide as ``capacity`` allows, so tokens alone decide. Offsets are gapless from 0.
+    A sequence holds at most ``capacity`` tokens, ``max_documents`` pieces and the attention cost ``attention``, by
+    default that of one piece of ``capacity`` tokens, so that every piece fits; then more than (capacity / tile)^2 very short
+    pieces exceed it. Offsets are gapless from 0. Pieces are written when this is called.
     """
-    documents, cost = max_documents or capacity, attention or capacity * capacity
+    tile = min(tile, capacity)
+    cost = max(attention or 0.0, float(attention_cost(np.array(capacity), tile)))
     cut = common.written(cut, "pieces")
-    shards = max(1, math.ceil(cut.count() / SHARD_PIECES))
+    shards = max(1, math.ceil(cut.count() / shard_pieces))
     kept = [f for f in cut.schema.fields if f.name not in ("shard", "sequence_id", "offset")]
     schema = cut.select(*[f.name for f in kept]).schema.add("sequence_id", "long").add("offset", "long")
 
     def packed(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.drop_columns(["shard"]).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("start", "ascending")])
         length = table.column("length").to_numpy().astype(np.float64)
-        bins, _ = best_fit(np.stack([length, np.ones_like(length), length * length], axis=1), np.array([capacity, documents, cost], float), np.array([1.0, 0.05, 0.05]), rule)
+        bins, _ = best_fit(np.stack([length, np.ones_like(length), attention_cost(length, tile)], axis=1), np.array([capacity, max_documents, cost], float), np.array([1.0, 0.05, 0.05]), rule)
         order = np.argsort(bins, kind="stable")
         size = length[order].astype(np.int64)
         before = np.cumsum(size) - size
