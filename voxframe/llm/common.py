@@ -12,19 +12,34 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Most text bytes that a Python worker holds at once, save for a single longer text.
 BLOCK_BYTES = 8 << 20
+_OWN: str | None = None
+_MADE: list[str] = []
+_TABLES: list[str] = []
 
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A new folder name in the cluster's shared folder.
 
-    The folder is the one in ``spark.checkpoint.dir``; only where that is unset, as in
-    tests on one machine, a temporary folder is made and set.
+    The folder is the one in ``spark.checkpoint.dir``. Where that is unset, a temporary folder is made if the
+    master is local, as in tests; a cluster without a shared folder is an error.
     """
+    global _OWN
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='voxframe-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = _OWN = _OWN or f"file://{tempfile.mkdtemp(prefix='voxframe-')}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all folders and tables of intermediate rows that this process made; results that read them must have been written."""
+    while _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
+    while _MADE:
+        remove(spark, _MADE.pop())
 
 
 def saved(df: DataFrame, path: str, **options: object) -> DataFrame:
@@ -51,6 +66,7 @@ def bucketed(df: DataFrame, name: str, column: str, buckets: int | None = None)
     spark = df.sparkSession
     path = work_path(spark, name)
     table = path.rpartition("/")[2].replace("-", "_")
+    _TABLES.append(table)
     df.write.bucketBy(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", path).option("compression", "zstd").saveAsTable(table)
     spark.sparkContext._jvm.System.gc()
     return spark.table(table)
