@@ -42,6 +42,12 @@ def clear(spark: SparkSession) -> None:
         remove(spark, _MADE.pop())
 
 
+def _collect_garbage(spark: SparkSession) -> None:
+    """Let Spark delete the files of shuffles that nothing refers to. The last finished execution is referred to until one follows it."""
+    spark.sql("SELECT 1").collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def saved(df: DataFrame, path: str, **options: object) -> DataFrame:
     """``df`` written as Parquet to ``path`` and read again: a cut of the lineage that survives lost executors.
 
@@ -49,7 +55,7 @@ def saved(df: DataFrame, path: str, **options: object) -> DataFrame:
     """
     spark = df.sparkSession
     df.write.options(**options).parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    _collect_garbage(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -68,7 +74,7 @@ def bucketed(df: DataFrame, name: str, column: str, buckets: int | None = None)
     table = path.rpartition("/")[2].replace("-", "_")
     _TABLES.append(table)
     df.write.bucketBy(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", path).option("compression", "zstd").saveAsTable(table)
-    spark.sparkContext._jvm.System.gc()
+    _collect_garbage(spark)
     return spark.table(table)
 
 
