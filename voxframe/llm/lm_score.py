@@ -30,7 +30,8 @@ from voxframe.llm.shingles import mixed, word_hashes_of
 LEAST, DISCOUNT = 2, 0.5
 #: Slices of the hashes, at least, as a power of two; characters of the corpus for each slice and for each shuffle partition at most.
 SLICE_BITS, SLICE_CHARS, PARTITION_CHARS = 11, 4_000_000, 48_000_000
-PACK_BYTES = 8 << 20
+#: Characters of a block's texts, or one longer text; tokens that are stepped at once.
+PACK_BYTES, TOKENS = 6 << 20, 1 << 17
 END = np.uint64(0x5EED0F7E47)
 
 
@@ -253,32 +254,37 @@ def state_sums(grams: Grams, signed: tuple[np.ndarray, np.ndarray]) -> np.ndarra
 
 
 def token_scores(grams: Grams, totals: np.ndarray, triples: np.ndarray, asked: np.ndarray, sums: np.ndarray, mass: int) -> tuple[np.ndarray, np.ndarray]:
-    """log10 probability of each token by the lowest order and by the automaton; ``sums`` are those of the arcs of the states ``asked``."""
+    """log10 probability of each token by the lowest order and by the automaton; ``sums`` are those of the arcs of the states ``asked``.
+
+    A token's state depends on the two tokens before it, all within its text, so windows of tokens are stepped one after the other.
+    """
     slot = np.full(grams.keys.size, asked.size, np.int32)
     slot[asked] = np.arange(asked.size, dtype=np.int32)
-    sums = np.concatenate([sums, np.zeros((1, 3), np.int64)])
-    word, pair, triple = grams.at
-    c1 = totals[word]
-    c2 = np.where(pair >= 0, totals[pair], 0)
-    c3 = np.where(triple >= 0, triples[triple], 0) if triples.size else np.zeros(word.size, np.int64)
-    before = np.concatenate([[0], c1[:-1]])
-    lowest = np.log10(c1 + 1.0) - np.log10(float(mass))
-
-    def weight(state: np.ndarray, base: np.ndarray, least: float, under: np.ndarray | int) -> np.ndarray:
+    sums, triples = np.concatenate([sums, np.zeros((1, 3), np.int64)]), np.append(triples, 0)
+    base, full = np.empty(grams.at[0].size), np.empty(grams.at[0].size)
+
+    def weight(state: np.ndarray, count_of: np.ndarray, least: float, under: np.ndarray | int) -> np.ndarray:
         """The failure arc's weight: what the state leaves over its arcs, by what the lower state has beside their words."""
-        count, arcs, below = sums[slot[state]].T.astype(float)
-        left, taken = (count - DISCOUNT * arcs) / base, (below + least * arcs) / under
+        count, arcs, below = sums[slot[state]].T
+        left, taken = (count - DISCOUNT * arcs) / count_of, (below + least * arcs) / under
         return np.where(arcs > 0, np.log10(np.maximum(1 - left, 1e-12) / np.maximum(1 - taken, 1e-12)), 0.0)
 
-    known = np.maximum(before, 1)
-    two = weight(np.concatenate([word[:1], word[:-1]]), known, 1.0, mass) + lowest
-    two = np.where(c2 >= LEAST, np.log10(np.maximum(c2 - DISCOUNT, DISCOUNT) / known), two)
-    two = np.where(pair >= 0, two, lowest)
-    c2_before = np.concatenate([[0], c2[:-1]])
-    broad = np.maximum(c2_before, 1)
-    three = weight(np.concatenate([pair[:1], pair[:-1]]), broad, -DISCOUNT, known) + two
-    three = np.where(c3 >= LEAST, np.log10(np.maximum(c3 - DISCOUNT, DISCOUNT) / broad), three)
-    return lowest, np.where(grams.whole & (c2_before >= LEAST), three, two)
+    for lo in range(0, base.size, TOKENS):
+        # the window's first token but one is there for the state of the next alone
+        own = slice(max(0, lo - 1), lo + TOKENS)
+        word, pair, triple = (at[own] for at in grams.at)
+        c1, c2, c3 = totals[word], np.where(pair >= 0, totals[pair], 0), triples[triple]
+        before, c2_before = np.append(0, c1[:-1]), np.append(0, c2[:-1])
+        lowest = np.log10(c1 + 1.0) - np.log10(float(mass))
+        known, broad = np.maximum(before, 1), np.maximum(c2_before, 1)
+        two = weight(np.append(word[:1], word[:-1]), known, 1.0, mass) + lowest
+        two = np.where(c2 >= LEAST, np.log10(np.maximum(c2 - DISCOUNT, DISCOUNT) / known), two)
+        two = np.where(pair >= 0, two, lowest)
+        three = weight(np.append(pair[:1], pair[:-1]), broad, -DISCOUNT, known) + two
+        three = np.where(c3 >= LEAST, np.log10(np.maximum(c3 - DISCOUNT, DISCOUNT) / broad), three)
+        score = np.where(grams.whole[own] & (c2_before >= LEAST), three, two)
+        base[lo : lo + TOKENS], full[lo : lo + TOKENS] = lowest[lo - own.start :], score[lo - own.start :]
+    return base, full
 
 
 def held_out(doc_id: Column) -> Column:
