@@ -31,7 +31,7 @@ LEAST, DISCOUNT = 2, 0.5
 #: Slices of the hashes, at least, as a power of two; characters of the corpus for each slice and for each shuffle partition at most.
 SLICE_BITS, SLICE_CHARS, PARTITION_CHARS = 11, 4_000_000, 48_000_000
 #: Characters of a block's texts, or one longer text; tokens that are stepped at once.
-PACK_BYTES, TOKENS = 6 << 20, 1 << 17
+PACK_BYTES, TOKENS = 4 << 20, 1 << 17
 END = np.uint64(0x5EED0F7E47)
 
 
