@@ -11,6 +11,7 @@ probability of about 2e-8.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,9 +54,8 @@ def band_keys(values: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def set_key(shingles: np.ndarray) -> bytes:
-    """128 bits that stand for a whole set."""
-    a, b = mixed(shingles + np.uint64(0x9E3779B97F4A7C15)), mixed(shingles ^ np.uint64(0xC2B2AE3D27D4EB4F))
-    return a.sum(dtype=np.uint64).tobytes() + b.sum(dtype=np.uint64).tobytes()
+    """A cryptographic digest of a whole set, ascending: sets with one digest are taken to be equal."""
+    return hashlib.blake2b(np.ascontiguousarray(shingles, "<u8"), digest_size=16).digest()
 
 
 def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -207,7 +207,8 @@ def grouped(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
     edges = banded.join(hubs, "band").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     clusters = common.written(components(edges), "clusters")
     wanted = clusters.join(classes.select(F.col("rep").alias("node"), "set_key"), "node").select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"), F.col("set_key").alias("wanted"))
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id")
+    # written, so that its size is known: texts are shuffled only where it is beyond the broadcast threshold
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(common.written(wanted, "wanted"), "doc_id")
     sets = full_sets(texts, width).where("set_key = wanted").select("doc_id", "cluster", "set_key", "shingles")
     links = verified(common.written(sets.dropDuplicates(["doc_id", "cluster", "set_key"]), "sets"), percent)
     # a doc_id with several texts joins their classes
