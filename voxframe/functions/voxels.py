@@ -25,28 +25,6 @@ def count_of(shape: Column) -> Column:
     return F.aggregate(shape, F.lit(1), lambda n, d: n * d)
 
 
-def voxel_at(volume: Column, x: Column, y: Column, z: Column) -> Column:
-    """The voxel of struct(data, shape) at integer coordinates; null outside."""
-    shape = volume["shape"]
-    nx, ny, nz = (F.get(shape, k) for k in range(3))
-    inside = (x >= 0) & (x < nx) & (y >= 0) & (y < ny) & (z >= 0) & (z < nz)
-    return F.when(inside, F.get(volume["data"], (x + nx * (y + ny * z)).cast("int")))
-
-
-def gathered(data: Column, shape: Column, new_shape: list[int | Column], value: Callable[[Column, Column, Column, Column], Column], **bound: Column) -> Column:
-    """A new data array: ``value`` of (volume, x, y, z) for each place of the grid ``new_shape``. No shuffle.
-
-    ``bound`` columns are fields of the volume inside ``value``, computed once a row.
-    """
-    nx, ny, nz = map(num, new_shape)
-    none = F.array().cast("array<int>")
-    return let(F.struct(data.alias("data"), shape.alias("shape"), nx.alias("nx"), ny.alias("ny"), (nx * ny * nz).cast("int").alias("n"), *[c.alias(n) for n, c in bound.items()]), lambda v: F.transform(F.when(v["n"] > 0, F.sequence(F.lit(0), v["n"] - 1)).otherwise(none), lambda i: value(v, i % v["nx"], div(i, v["nx"]) % v["ny"], div(i, v["nx"] * v["ny"]))))
-
-
-def shape_of(new_shape: list[int | Column]) -> Column:
-    return F.array(*[num(n).cast("int") for n in new_shape])
-
-
 def uniform(*keys: object) -> Column:
     """A number in [0, 1) that is a function of its keys alone, so results don't depend on partitioning."""
     text = F.concat_ws(":", *[k.cast("string") if isinstance(k, Column) else F.lit(str(k)) for k in keys])

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from voxframe.functions.voxels import gathered, uniform, voxel_at
+from voxframe.functions.voxels import uniform
 from voxframe.operators.grid import rotate_90
+from voxframe.operators.volume import Kernel, each_volume
 
 
 def _between(low: float, high: float, *keys: object) -> Column:
@@ -16,23 +19,13 @@ def _between(low: float, high: float, *keys: object) -> Column:
 
 def random_flip(df: DataFrame, seed: int, axes: tuple[int, ...] = (0, 1, 2), probability: float = 0.5) -> DataFrame:
     """Each listed axis is reversed with ``probability``."""
-    turned = {k: uniform(seed, "flip", F.col("vec_id"), k) < probability for k in axes}
-    dims = [F.get("shape", k) for k in range(3)]
-
-    def value(v: Column, *at: Column) -> Column:
-        return voxel_at(v, *[F.when(turned[k], F.get(v["shape"], k) - 1 - at[k]).otherwise(at[k]) if k in turned else at[k] for k in range(3)])
-
-    return df.withColumn("data", gathered(F.col("data"), F.col("shape"), dims, value))
+    turned = F.array(*[uniform(seed, "flip", F.col("vec_id"), k) < probability for k in axes])
+    return each_volume(df, Kernel("random_flip", lambda v: replace(v, grid=np.flip(v.grid, [k for k, t in zip(axes, v.args["turned"], strict=True) if t]))), turned=turned)
 
 
 def random_rotate_90(df: DataFrame, seed: int, axes: tuple[int, int] = (0, 1)) -> DataFrame:
     """0 to 3 quarter turns, each as likely."""
-    turns = F.floor(uniform(seed, "rotate", F.col("vec_id")) * 4)
-    marked = df.withColumn("_turns", turns)
-    out = marked.where("_turns = 0")
-    for k in (1, 2, 3):
-        out = out.union(rotate_90(marked.where(F.col("_turns") == k), k, axes))
-    return out.drop("_turns")
+    return rotate_90(df, F.floor(uniform(seed, "rotate", F.col("vec_id")) * 4), axes)
 
 
 def gaussian_noise(df: DataFrame, seed: int, std: float = 0.1) -> DataFrame:
@@ -59,6 +52,33 @@ def random_gamma(df: DataFrame, seed: int, low: float = 0.7, high: float = 1.5)
     return df.withColumn("data", F.transform("data", lambda v: F.pow(F.greatest(v, F.lit(0.0)), power)))
 
 
+@dataclass(frozen=True)
+class RandomAugment:
+    """Options of an augmentation; a step that is None is left out. Applied in the order flip, scale, shift, noise, gamma."""
+
+    seed: int = 42
+    flip_axes: tuple[int, ...] | None = (0, 1, 2)
+    scale: float | None = 0.1
+    shift: float | None = 0.1
+    noise: float | None = 0.05
+    gamma: tuple[float, float] | None = None
+
+    def without(self, *steps: str) -> RandomAugment:
+        """The same without the named options."""
+        return replace(self, **dict.fromkeys(steps))
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        if self.flip_axes is not None:
+            df = random_flip(df, self.seed, self.flip_axes)
+        if self.scale is not None:
+            df = intensity_scale(df, self.seed, self.scale)
+        if self.shift is not None:
+            df = intensity_shift(df, self.seed, self.shift)
+        if self.noise is not None:
+            df = gaussian_noise(df, self.seed, self.noise)
+        return df if self.gamma is None else random_gamma(df, self.seed, *self.gamma)
+
+
 def random_augment(df: DataFrame, seed: int, noise: float = 0.05) -> DataFrame:
     """Flip, scale, shift and noise, in this order."""
-    return gaussian_noise(intensity_shift(intensity_scale(random_flip(df, seed), seed), seed), seed, noise)
+    return RandomAugment(seed, noise=noise).apply(df)

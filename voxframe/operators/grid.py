@@ -1,147 +1,65 @@
-"""Grid transforms of dense volumes: each output voxel is an expression of its source's voxels."""
+"""Grid transforms of dense volumes as DataFrame functions; spacing and affine columns follow where the rows have them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from itertools import product
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-from voxframe.functions.voxels import div, gathered, let, num, shape_of, voxel_at
-
-AXES = {"R": (0, 1), "L": (0, -1), "A": (1, 1), "P": (1, -1), "S": (2, 1), "I": (2, -1)}
-
+from voxframe.operators import volume
+from voxframe.operators.volume import each_volume, size_for_spacing
 
-def _moved(df: DataFrame, new_shape: list, value: Callable[..., Column], **bound: Column) -> DataFrame:
-    return df.withColumns({"data": gathered(F.col("data"), F.col("shape"), new_shape, value, **bound), "shape": shape_of(new_shape)})
-
-
-def _dims() -> list[Column]:
-    return [F.get("shape", k) for k in range(3)]
+__all__ = ["apply_affine", "center_crop", "crop", "crop_or_pad", "flip", "reorient", "resample_nearest", "resample_to_spacing", "resample_trilinear", "rotate_90", "size_for_spacing"]
 
 
 def flip(df: DataFrame, axes: list[int]) -> DataFrame:
     """Reverse the listed axes; geometry columns stay as they are."""
-    def value(v: Column, *at: Column) -> Column:
-        return voxel_at(v, *[F.get(v["shape"], k) - 1 - at[k] if k in axes else at[k] for k in range(3)])
-
-    return _moved(df, _dims(), value)
+    return each_volume(df, volume.flip(axes))
 
 
-def rotate_90(df: DataFrame, turns: int, axes: tuple[int, int] = (0, 1)) -> DataFrame:
+def rotate_90(df: DataFrame, turns: int | Column, axes: tuple[int, int] = (0, 1)) -> DataFrame:
     """``turns`` times: swap the two axes, then reverse the second of them."""
-    a, b = axes
-    for _ in range(turns % 4):
-        new = _dims()
-        new[a], new[b] = new[b], new[a]
-
-        def value(v: Column, *at: Column) -> Column:
-            source = list(at)
-            source[a], source[b] = F.get(v["shape"], a) - 1 - at[b], at[a]
-            return voxel_at(v, *source)
-
-        df = _moved(df, new, value)
-    return df
+    if isinstance(turns, Column):
+        return each_volume(df, volume.rotate_90(None, axes), turns=turns.cast("int"))
+    return each_volume(df, volume.rotate_90(turns, axes))
 
 
 def crop(df: DataFrame, start: list[int | Column], stop: list[int | Column]) -> DataFrame:
-    """The box [start, stop), cut to the volume; a box outside it is empty."""
-    dims = _dims()
-    low = [F.least(F.greatest(num(s), F.lit(0)), d) for s, d in zip(start, dims, strict=True)]
-    high = [F.greatest(F.least(num(s), d), lo) for s, d, lo in zip(stop, dims, low, strict=True)]
-    return _moved(df, [h - lo for h, lo in zip(high, low, strict=True)], lambda v, *at: voxel_at(v, *[c + v[f"low{k}"] for k, c in enumerate(at)]), **{f"low{k}": lo for k, lo in enumerate(low)})
+    """The box [start, stop), cut to the volume; a box outside it is empty. The affine's origin moves with it."""
+    if any(isinstance(x, Column) for x in [*start, *stop]):
+        ends = {n: F.array(*[(x if isinstance(x, Column) else F.lit(x)).cast("int") for x in own]) for n, own in (("start", start), ("stop", stop))}
+        return each_volume(df, volume.crop(), **ends)
+    return each_volume(df, volume.crop(start, stop))
 
 
 def center_crop(df: DataFrame, size: list[int]) -> DataFrame:
-    start = [div(F.greatest(d - s, F.lit(0)), 2) for d, s in zip(_dims(), size, strict=True)]
-    return crop(df, start, [b + s for b, s in zip(start, size, strict=True)])
+    return each_volume(df, volume.center_crop(size))
 
 
 def crop_or_pad(df: DataFrame, size: list[int], fill: float = 0.0) -> DataFrame:
     """Centred: an axis too long loses floor(difference / 2) voxels in front, one too short gets as many."""
-    shift = [F.when(d >= s, div(d - s, 2)).otherwise(-div(s - d, 2)) for d, s in zip(_dims(), size, strict=True)]
-    return _moved(df, size, lambda v, *at: F.coalesce(voxel_at(v, *[c + v[f"shift{k}"] for k, c in enumerate(at)]), F.lit(fill)), **{f"shift{k}": c for k, c in enumerate(shift)})
-
+    return each_volume(df, volume.crop_or_pad(size, fill))
 
-def reorient(df: DataFrame, source: str, target: str) -> DataFrame:
-    """From one three-letter code to another: an axis permutation with flips."""
-    own, wanted = [AXES[c] for c in source.upper()], [AXES[c] for c in target.upper()]
-    from_axis = [[a for a, _ in own].index(axis) for axis, _ in wanted]
-    turned = [own[f][1] != sign for f, (_, sign) in zip(from_axis, wanted, strict=True)]
-    dims = _dims()
 
-    def value(v: Column, *at: Column) -> Column:
-        place: list[Column] = [F.lit(0)] * 3
-        for k, f in enumerate(from_axis):
-            place[f] = F.get(v["shape"], f) - 1 - at[k] if turned[k] else at[k]
-        return voxel_at(v, *place)
-
-    return _moved(df, [dims[f] for f in from_axis], value)
+def reorient(df: DataFrame, target: str, source: str | None = None) -> DataFrame:
+    """To a three-letter code, from the affine's own or ``source``: an axis permutation with flips."""
+    return each_volume(df, volume.reorient(target, source))
 
 
 def resample_nearest(df: DataFrame, size: list[int]) -> DataFrame:
-    """Half-pixel centres: source index floor((o + 0.5) * old / new), inside the volume."""
-    def value(v: Column, *at: Column) -> Column:
-        return voxel_at(v, *[F.least(F.floor((at[k] + 0.5) * F.get(v["shape"], k) / size[k]).cast("int"), F.get(v["shape"], k) - 1) for k in range(3)])
-
-    return _moved(df, size, value)
-
-
-def _taps(v: Column, place: list[Column]) -> Column:
-    """Trilinear mean around fractional coordinates that are inside the volume."""
-    low = [F.floor(p).cast("int") for p in place]
-    bound = F.struct(*[c.alias(f"{n}{k}") for k in range(3) for n, c in (("a", low[k]), ("b", F.least(low[k] + 1, F.get(v["shape"], k) - 1)), ("w", place[k] - low[k]))])
-
-    def total(t: Column) -> Column:
-        out = F.lit(0.0)
-        for corner in product((0, 1), repeat=3):
-            weight = F.lit(1.0)
-            for k, c in enumerate(corner):
-                weight = weight * (t[f"w{k}"] if c else 1 - t[f"w{k}"])
-            out = out + weight * voxel_at(v, *[t[f"{'ab'[c]}{k}"] for k, c in enumerate(corner)])
-        return out
-
-    return let(bound, total)
+    return each_volume(df, volume.resample_to_shape(size, "nearest"))
 
 
 def resample_trilinear(df: DataFrame, size: list[int]) -> DataFrame:
-    """Aligned corners: position o * (old - 1) / (new - 1), 0 where new is 1."""
-    def value(v: Column, *at: Column) -> Column:
-        return _taps(v, [at[k] * (F.get(v["shape"], k) - 1) / F.lit(float(size[k] - 1)) if size[k] > 1 else at[k] * 0.0 for k in range(3)])
-
-    return _moved(df, size, value)
-
-
-def resample_trilinear_to(df: DataFrame, size: list[Column]) -> DataFrame:
-    """As ``resample_trilinear``, to a size that is a column."""
-    def value(v: Column, *at: Column) -> Column:
-        return _taps(v, [F.when(v[f"s{k}"] > 1, at[k] * (F.get(v["shape"], k) - 1) / (v[f"s{k}"] - 1)).otherwise(0.0) for k in range(3)])
-
-    return _moved(df, size, value, **{f"s{k}": s for k, s in enumerate(size)})
-
-
-def resample_nearest_to(df: DataFrame, size: list[Column]) -> DataFrame:
-    """As ``resample_nearest``, to a size that is a column."""
-    def value(v: Column, *at: Column) -> Column:
-        return voxel_at(v, *[F.least(F.floor((at[k] + 0.5) * F.get(v["shape"], k) / v[f"s{k}"]).cast("int"), F.get(v["shape"], k) - 1) for k in range(3)])
-
-    return _moved(df, size, value, **{f"s{k}": s for k, s in enumerate(size)})
+    return each_volume(df, volume.resample_to_shape(size))
 
 
-def size_for_spacing(shape: list[int], spacing: list[float], target: list[float]) -> list[int]:
-    """max(1, round(dim * spacing / target)) for each axis, halves away from zero."""
-    return [max(1, int(d * s / t + 0.5)) for d, s, t in zip(shape, spacing, target, strict=True)]
+def resample_to_spacing(df: DataFrame, target: list[float] | Column, method: str | Column = "trilinear") -> DataFrame:
+    """From each row's own spacing; a target or method that is a column may differ from row to row."""
+    if not isinstance(target, Column) and not isinstance(method, Column):
+        return each_volume(df, volume.resample_to_spacing(target, method))
+    target = target if isinstance(target, Column) else F.array(*map(F.lit, target))
+    return each_volume(df, volume.resample_to_spacing(None, None), target=target, method=method if isinstance(method, Column) else F.lit(method))
 
 
 def apply_affine(df: DataFrame, matrix: list[list[float]], method: str = "trilinear") -> DataFrame:
     """Output voxel o takes the input at matrix * (o, 1); outside the volume it is 0."""
-    def value(v: Column, *at: Column) -> Column:
-        place = [sum((at[j] * float(matrix[k][j]) for j in range(3)), F.lit(float(matrix[k][3]))) for k in range(3)]
-        if method == "nearest":
-            return F.coalesce(voxel_at(v, *[F.round(p).cast("int") for p in place]), F.lit(0.0))
-        inside = F.lit(True)
-        for k, p in enumerate(place):
-            inside = inside & (p >= 0) & (p <= F.get(v["shape"], k) - 1)
-        return F.when(inside, _taps(v, place)).otherwise(0.0)
-
-    return _moved(df, _dims(), value)
+    return each_volume(df, volume.apply_affine(matrix, method))

@@ -1,4 +1,4 @@
-"""Voxel-wise maps and per-volume statistics; narrow projections over dense rows.
+"""Voxel-wise maps and per-volume statistics.
 
 Null voxels count as absent in statistics and stay null; an empty volume stays empty.
 """
@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voxframe.functions.voxels import let
+from voxframe.operators import volume
+from voxframe.operators.volume import each_volume
 
 
 def moments(data: Column) -> Column:
@@ -19,28 +21,41 @@ def moments(data: Column) -> Column:
 
 def z_normalize(df: DataFrame) -> DataFrame:
     """(v - mean) / std per volume; a variance of 0 or less divides by 1."""
-    scaled = let(moments(F.col("data")), lambda m: F.transform("data", lambda v: (v - m["mean"]) / F.when(m["variance"] > 0, F.sqrt(m["variance"])).otherwise(1.0)))
-    return df.withColumn("data", scaled)
+    return each_volume(df, volume.z_normalize())
 
 
 def rescale(df: DataFrame, low: float = 0.0, high: float = 1.0) -> DataFrame:
     """Minimum to ``low`` and maximum to ``high``; a constant volume becomes ``low``."""
-    ends = F.struct(F.array_min("data").alias("a"), F.array_max("data").alias("b"))
-    return df.withColumn("data", let(ends, lambda e: F.transform("data", lambda v: (v - e["a"]) / F.when(e["b"] > e["a"], e["b"] - e["a"]).otherwise(1.0) * F.lit(high - low) + F.lit(float(low)))))
+    return each_volume(df, volume.rescale(low, high))
 
 
 def clamp(df: DataFrame, low: float, high: float) -> DataFrame:
-    return df.withColumn("data", F.transform("data", lambda v: F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(float(low))), F.lit(float(high))))))
+    return each_volume(df, volume.clamp(low, high))
 
 
 def linear(df: DataFrame, slope: float, offset: float) -> DataFrame:
     """v * slope + offset; a stored slope of 0 means 1."""
-    return df.withColumn("data", F.transform("data", lambda v: v * F.lit(float(slope or 1.0)) + F.lit(float(offset))))
+    return each_volume(df, volume.linear(slope, offset))
 
 
 def to_integer(df: DataFrame, low: int, high: int) -> DataFrame:
     """Round half away from zero and saturate."""
-    return df.withColumn("data", F.transform("data", lambda v: F.least(F.greatest(F.round(v), F.lit(float(low))), F.lit(float(high))).cast("long")))
+    return each_volume(df, volume.to_integer(low, high)).withColumn("data", F.col("data").cast("array<long>"))
+
+
+#: Least and greatest value of each integer type.
+RANGES = {f"{'u' * (lo == 0)}int{bits}": (lo, hi) for bits in (8, 16, 32, 64) for lo, hi in ((0, 2**bits - 1), (-(2 ** (bits - 1)), 2 ** (bits - 1) - 1))}
+#: Stored bits of the mantissa and the least exponent of each narrow float.
+FLOATS = {"float16": (10, -14), "bfloat16": (7, -126), "float32": (23, -126)}
+
+
+def with_dtype(df: DataFrame, dtype: str) -> DataFrame:
+    """Voxels as a narrower type holds them: integers rounded half away from zero and saturated, floats to the nearest, even of two."""
+    if dtype == "float64":
+        return df
+    if dtype in RANGES:
+        return each_volume(df, volume.to_integer(*RANGES[dtype]))
+    return each_volume(df, volume.narrowed(*FLOATS[dtype]))
 
 
 def statistics(df: DataFrame) -> DataFrame:

@@ -11,16 +11,9 @@ from voxframe.functions.voxels import uniform
 from voxframe.operators import grid
 
 
-def sizes(spacing: Column, shape: Column, target: Column) -> list[Column]:
-    """max(1, round(dim * spacing / target)) for each axis."""
-    return [F.greatest(F.lit(1), F.round(F.get(shape, k) * F.get(spacing, k) / F.get(target, k)).cast("int")) for k in range(3)]
-
-
-def _resampled(df: DataFrame, target: str) -> DataFrame:
-    size = sizes(F.col("spacing"), F.col("shape"), F.col(target))
-    label = grid.resample_nearest_to(df.where("is_label"), size)
-    image = grid.resample_trilinear_to(df.where("NOT is_label"), size)
-    return image.union(label).withColumn("spacing", F.col(target))
+def _resampled(df: DataFrame, target: Column) -> DataFrame:
+    """Every file at ``target``, labels by the nearest voxel, in one pass."""
+    return grid.resample_to_spacing(df, target, F.when(F.col("is_label"), "nearest").otherwise("trilinear"))
 
 
 def align(df: DataFrame, reference_key: int = 0) -> DataFrame:
@@ -29,16 +22,36 @@ def align(df: DataFrame, reference_key: int = 0) -> DataFrame:
     A subject without that file has no rows in the result.
     """
     reference = df.where(F.col("key") == reference_key).select("subject", F.col("spacing").alias("_target"))
-    return _resampled(df.join(reference, "subject"), "_target").drop("_target")
+    return _resampled(df.join(reference, "subject"), F.col("_target")).drop("_target")
+
 
+def normalize(df: DataFrame, spacing: list[float] | None = None, reference_key: int | None = None, orientation: str | None = None) -> DataFrame:
+    """All files of a subject at one spacing: ``spacing``, that of the file ``reference_key``, or the least of the subject, axis by axis.
 
-def normalize(df: DataFrame) -> DataFrame:
-    """Each file at the least spacing of its subject, axis by axis."""
+    With ``orientation``, a three-letter code, all are turned to it first, which needs an affine column.
+    """
+    if orientation is not None:
+        df = grid.reorient(df, orientation)
+    if spacing is not None:
+        return _resampled(df, F.array(*map(F.lit, spacing)))
+    if reference_key is not None:
+        return align(df, reference_key)
     least = df.groupBy("subject").agg(*[F.min(F.get("spacing", k)).alias(f"_s{k}") for k in range(3)]).select("subject", F.array("_s0", "_s1", "_s2").alias("_target"))
-    return _resampled(df.join(least, "subject"), "_target").drop("_target")
+    return _resampled(df.join(least, "subject"), F.col("_target")).drop("_target")
+
 
+def coordinated_crop(df: DataFrame, size: list[int], seed: int = 42, center: bool = False, margin: int | None = None, reference_key: int = 0) -> DataFrame:
+    """The same box for all files of a subject, that of its file ``reference_key``: the centre, or a start that is a hash of seed and subject.
 
-def coordinated_crop(df: DataFrame, size: list[int], seed: int) -> DataFrame:
-    """The same random box for all files of a subject: where it starts is a hash of seed and subject."""
-    start = [F.floor(uniform(seed, "crop", F.col("subject"), k) * F.greatest(F.get("shape", k) - s + 1, F.lit(1))).cast("int") for k, s in enumerate(size)]
-    return grid.crop(df, start, [b + s for b, s in zip(start, size, strict=True)])
+    With ``margin`` a random start is at most that far from the central one along each axis. The box is cut to each
+    volume; a subject without that file has no rows in the result.
+    """
+    starts = []
+    for k, s in enumerate(size):
+        last = F.greatest(F.get("shape", k) - s, F.lit(0))
+        middle = F.floor(last / 2)
+        low, high = (F.lit(0), last) if margin is None else (F.greatest(middle - margin, F.lit(0)), F.least(middle + margin, last))
+        starts.append((middle if center else low + F.floor(uniform(seed, "crop", F.col("subject"), k) * (high - low + 1))).cast("int"))
+    boxes = df.where(F.col("key") == reference_key).select("subject", F.array(*starts).alias("_start"))
+    start = [F.get("_start", k) for k in range(3)]
+    return grid.crop(df.join(boxes, "subject"), start, [b + s for b, s in zip(start, size, strict=True)]).drop("_start")

@@ -21,7 +21,7 @@ SHIFTED = [[0.8, 0.1, 0.0, 0.3], [0.0, 0.9, 0.0, 0.2], [0.0, 0.0, 1.0, -0.5]]
 def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, label, shape and data of every row of ``embeddings``."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return rows.select("vec_id", "label", F.array(*map(F.lit, SHAPE)).alias("shape"), F.col("embedding").cast("array<double>").alias("data"))
+    return rows.select("vec_id", "label", F.array(*map(F.lit, SHAPE)).alias("shape"), F.array(*map(F.lit, SPACING)).alias("spacing"), F.col("embedding").cast("array<double>").alias("data"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,8 +29,17 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries()["pipeline_znorm_clamp_resample"](spark, sf_dir)
 
 
+def rounded(value: Column | str) -> Column:
+    """Four decimals by operations that both engines do alike on doubles."""
+    return F.floor((F.col(value) if isinstance(value, str) else value) * 10000 + 0.5) / 10000
+
+
+def sql_rounded(value: str) -> str:
+    return f"floor(({value})::DOUBLE * 10000 + 0.5) / 10000"
+
+
 def flat(df: DataFrame) -> DataFrame:
-    return df.select("vec_id", F.posexplode("data").alias("i", "v")).select("vec_id", "i", F.round("v", 4).alias("v"))
+    return df.select("vec_id", F.posexplode("data").alias("i", "v")).select("vec_id", "i", rounded("v").alias("v"))
 
 
 QUERIES: dict[str, Callable[[DataFrame], DataFrame]] = {}
@@ -47,13 +56,13 @@ def add(name: str, query: Callable[[DataFrame], DataFrame], sql: str | None) ->
 
 
 def voxelwise(name: str, query: Callable[[DataFrame], DataFrame], value: str) -> None:
-    add(name, lambda df: flat(query(df)), f"{STATS} SELECT vec_id, i, round({value}, 4) AS v{FROM_STATS}")
+    add(name, lambda df: flat(query(df)), f"{STATS} SELECT vec_id, i, {sql_rounded(value)} AS v{FROM_STATS}")
 
 
 def remapped(name: str, query: Callable[[DataFrame], DataFrame], size: tuple[int, int, int], value: str) -> None:
     """``value`` is SQL over e (the 64 values, first at 1) and the output place x, y, z."""
     nx, ny, nz = size
-    sql = f"SELECT vec_id, o::INT AS i, round({value}, 4) AS v FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e, o, (o % {nx})::INT AS x, ((o // {nx}) % {ny})::INT AS y, (o // {nx * ny})::INT AS z FROM embeddings, range({nx * ny * nz}) t(o))"
+    sql = f"SELECT vec_id, o::INT AS i, {sql_rounded(value)} AS v FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e, o, (o % {nx})::INT AS x, ((o // {nx}) % {ny})::INT AS y, (o // {nx * ny})::INT AS z FROM embeddings, range({nx * ny * nz}) t(o))"
     add(name, lambda df: flat(query(df)), sql)
 
 
@@ -98,8 +107,8 @@ remapped("flip_x", lambda df: grid.flip(df, [0]), (4, 4, 4), at("3 - x", "y", "z
 remapped("flip_xyz", lambda df: grid.flip(df, [0, 1, 2]), (4, 4, 4), at("3 - x", "3 - y", "3 - z"))
 remapped("rotate90_k1", lambda df: grid.rotate_90(df, 1), (4, 4, 4), at("3 - y", "x", "z"))
 remapped("rotate90_k2", lambda df: grid.rotate_90(df, 2), (4, 4, 4), at("3 - x", "3 - y", "z"))
-remapped("reorient_lps", lambda df: grid.reorient(df, "RAS", "LPS"), (4, 4, 4), at("3 - x", "3 - y", "z"))
-remapped("reorient_permuted", lambda df: grid.reorient(df, "RAS", "SLA"), (4, 4, 4), at("3 - y", "z", "x"))
+remapped("reorient_lps", lambda df: grid.reorient(df, "LPS", "RAS"), (4, 4, 4), at("3 - x", "3 - y", "z"))
+remapped("reorient_permuted", lambda df: grid.reorient(df, "SLA", "RAS"), (4, 4, 4), at("3 - y", "z", "x"))
 remapped("crop_box", lambda df: grid.crop(df, [1, 0, 2], [3, 3, 9]), (2, 3, 2), at("x + 1", "y", "z + 2"))
 remapped("center_crop", lambda df: grid.center_crop(df, [2, 3, 2]), (2, 3, 2), at("x + 1", "y", "z + 1"))
 remapped("crop_or_pad_crop", lambda df: grid.crop_or_pad(df, [2, 2, 3]), (2, 2, 3), at("x + 1", "y + 1", "z"))
@@ -108,13 +117,13 @@ remapped("crop_or_pad_mixed", lambda df: grid.crop_or_pad(df, [2, 7, 4]), (2, 7,
 remapped("resample_shape_up", lambda df: grid.resample_trilinear(df, [6, 5, 7]), (6, 5, 7), blended("(x * 3 / 5.0::DOUBLE)", "(y * 3 / 4.0::DOUBLE)", "(z * 3 / 6.0::DOUBLE)"))
 remapped("resample_shape_down", lambda df: grid.resample_trilinear(df, [3, 2, 1]), (3, 2, 1), blended("(x * 3 / 2.0::DOUBLE)", "(y * 3 / 1.0::DOUBLE)", "(z * 0.0::DOUBLE)"))
 remapped("resample_nearest", lambda df: grid.resample_nearest(df, [6, 3, 5]), (6, 3, 5), at("least(floor((x + 0.5) * 4 / 6), 3)", "least(floor((y + 0.5) * 4 / 3), 3)", "least(floor((z + 0.5) * 4 / 5), 3)"))
-remapped("resample_spacing", lambda df: TransformPipeline().resample_to_spacing(SHAPE, SPACING, [1.0, 2.0, 1.0]).apply(df), (4, 2, 10), blended("(x * 3 / 3.0::DOUBLE)", "(y * 3 / 1.0::DOUBLE)", "(z * 3 / 9.0::DOUBLE)"))
+remapped("resample_spacing", lambda df: TransformPipeline().resample_to_spacing([1.0, 2.0, 1.0]).apply(df), (4, 2, 10), blended("(x * 3 / 3.0::DOUBLE)", "(y * 3 / 1.0::DOUBLE)", "(z * 3 / 9.0::DOUBLE)"))
 PLACE = [f"({' + '.join(f'{a} * {m}::DOUBLE' for a, m in zip('xyz', row, strict=False))} + {row[3]}::DOUBLE)" for row in SHIFTED]
 remapped("apply_affine_trilinear", lambda df: grid.apply_affine(df, SHIFTED), (4, 4, 4), "CASE WHEN " + " AND ".join(f"{p} >= 0 AND {p} <= 3" for p in PLACE) + f" THEN {blended(*PLACE)} ELSE 0.0 END")
 add(
     "pipeline_znorm_clamp_resample",
     lambda df: flat(TransformPipeline().z_normalize().clamp(-2.0, 2.0).resample_to_shape([6, 6, 6]).apply(df)),
-    f"{STATS}, n AS (SELECT vec_id, list(least(greatest((v - m) / sd, -2), 2) ORDER BY i) AS e{FROM_STATS} GROUP BY vec_id) SELECT vec_id, o::INT AS i, round({blended('(x * 3 / 5.0::DOUBLE)', '(y * 3 / 5.0::DOUBLE)', '(z * 3 / 5.0::DOUBLE)')}, 4) AS v FROM (SELECT vec_id, e, o, o % 6 AS x, (o // 6) % 6 AS y, o // 36 AS z FROM n, range(216) t(o))",
+    f"{STATS}, n AS (SELECT vec_id, list(least(greatest((v - m) / sd, -2), 2) ORDER BY i) AS e{FROM_STATS} GROUP BY vec_id) SELECT vec_id, o::INT AS i, {sql_rounded(blended('(x * 3 / 5.0::DOUBLE)', '(y * 3 / 5.0::DOUBLE)', '(z * 3 / 5.0::DOUBLE)'))} AS v FROM (SELECT vec_id, e, o, o % 6 AS x, (o // 6) % 6 AS y, o // 36 AS z FROM n, range(216) t(o))",
 )
 add(
     "foreground_bbox",
@@ -253,11 +262,11 @@ def subject_files(df: DataFrame) -> DataFrame:
 
 
 def files(df: DataFrame) -> DataFrame:
-    return df.select("subject", "key", F.posexplode("data").alias("i", "v")).select("subject", "key", "i", F.round("v", 4).alias("v"))
+    return df.select("subject", "key", F.posexplode("data").alias("i", "v")).select("subject", "key", "i", rounded("v").alias("v"))
 
 
 def by_key(image: tuple[tuple[int, int, int], str], label: tuple[tuple[int, int, int], str], extra: str = "") -> str:
-    part = lambda key, size, value: f"SELECT subject, {key}::BIGINT AS key, o::INT AS i, round({value}, 4) AS v FROM (SELECT *, (o % {size[0]})::INT AS x, ((o // {size[0]}) % {size[1]})::INT AS y, (o // {size[0] * size[1]})::INT AS z FROM (SELECT vec_id // 2 AS subject, embedding::DOUBLE[] AS e{extra} FROM embeddings WHERE vec_id % 2 = {key} AND EXISTS (FROM embeddings r WHERE r.vec_id = embeddings.vec_id // 2 * 2)), range({size[0] * size[1] * size[2]}) t(o))"
+    part = lambda key, size, value: f"SELECT subject, {key}::BIGINT AS key, o::INT AS i, {sql_rounded(value)} AS v FROM (SELECT *, (o % {size[0]})::INT AS x, ((o // {size[0]}) % {size[1]})::INT AS y, (o // {size[0] * size[1]})::INT AS z FROM (SELECT vec_id // 2 AS subject, embedding::DOUBLE[] AS e{extra} FROM embeddings WHERE vec_id % 2 = {key} AND EXISTS (FROM embeddings r WHERE r.vec_id = embeddings.vec_id // 2 * 2)), range({size[0] * size[1] * size[2]}) t(o))"
     return f"{part(0, *image)} UNION ALL {part(1, *label)}"
 
 
