@@ -65,3 +65,61 @@ def from_quaternion(b: Column, c: Column, d: Column, offset: list[Column], spaci
 
     a = F.sqrt(F.greatest(F.lit(0.0), 1 - b * b - c * c - d * d))
     return let(F.struct(a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d")), affine)
+
+
+def rows_of(matrix: list[list[float]]) -> Column:
+    """A constant 3 x 4 affine."""
+    return matrix_of([[F.lit(float(x)) for x in row] for row in matrix])
+
+
+def identity() -> Column:
+    return scale([1.0, 1.0, 1.0])
+
+
+def scale(factors: list[float | Column]) -> Column:
+    return matrix_of([[_number(f) if c == r else F.lit(0.0) for c in range(4)] for r, f in enumerate(factors)])
+
+
+def translate(offset: list[float | Column]) -> Column:
+    return matrix_of([[*[F.lit(float(c == r)) for c in range(3)], _number(o)] for r, o in enumerate(offset)])
+
+
+def flip_axes(axes: list[int], dims: list[int | Column]) -> Column:
+    """Voxel index i of a listed axis becomes dim - 1 - i."""
+    return matrix_of([[*[F.lit(float(c == r) * (-1.0 if r in axes else 1.0)) for c in range(3)], (_number(dims[r]) - 1 if r in axes else F.lit(0.0))] for r in range(3)])
+
+
+def then(first: Column, second: Column) -> Column:
+    """The affine that applies ``first`` and then ``second``."""
+    def product(m: Column) -> Column:
+        a, b = m["a"], m["b"]
+        return matrix_of([[sum((cell(b, r, k) * cell(a, k, c) for k in range(3)), cell(b, r, 3) if c == 3 else F.lit(0.0)) for c in range(4)] for r in range(3)])
+
+    return let(F.struct(first.alias("a"), second.alias("b")), product)
+
+
+def spacing_of(affine: Column) -> Column:
+    """The lengths of the affine's columns: what setting an affine makes of the spacing."""
+    return let(affine, lambda a: F.array(*[F.sqrt(sum((cell(a, r, c) * cell(a, r, c) for r in range(3)), F.lit(0.0))) for c in range(3)]))
+
+
+def of_code(code: Column, spacing: Column) -> Column:
+    """The affine of a three-letter orientation code and a spacing, with the origin at 0; null for a code that isn't one."""
+    letters = [F.substring(F.upper(code), k + 1, 1) for k in range(3)]
+    along = lambda k, r: F.when(letters[k] == LETTERS[r][0], F.get(spacing, k)).when(letters[k] == LETTERS[r][1], -F.get(spacing, k)).otherwise(0.0)
+    return F.when(is_code(code), matrix_of([[*[along(k, r) for k in range(3)], F.lit(0.0)] for r in range(3)]))
+
+
+def is_code(code: Column) -> Column:
+    """Three letters, one of each world axis, in either case."""
+    up = F.upper(code)
+    return (F.length(up) == 3) & up.rlike("[RL]") & up.rlike("[AP]") & up.rlike("[SI]")
+
+
+def needs_version_2(shape: Column) -> Column:
+    """An axis is beyond what version 1 of the format can say."""
+    return F.exists(shape, lambda d: d > 32767)
+
+
+def _number(x: float | Column) -> Column:
+    return x.cast("double") if isinstance(x, Column) else F.lit(float(x))

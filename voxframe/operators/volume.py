@@ -15,6 +15,8 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 BATCH_BYTES = 64 << 20
 
@@ -344,3 +346,30 @@ def narrowed(bits: int, least: int) -> Kernel:
         return replace(v, grid=out)
 
     return of("narrowed", run)
+
+
+def volume_rows(df: DataFrame, function: Callable[[Volume], list[tuple]], schema: str, keep: tuple[str, ...] = ("vec_id",), **args: Column) -> DataFrame:
+    """Any number of rows of ``schema`` from each volume, with the columns ``keep`` before them; rows of null volumes give none."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    given, geometry = list(args), [c for c in ("spacing", "affine") if c in df.columns]
+    wide = df.select(*keep, *[c for c in ("shape", "data", *geometry) if c not in keep], *[c.alias(f"_arg_{k}") for k, c in args.items()])
+    target = StructType([*df.select(*keep).schema.fields, *StructType.fromDDL(schema).fields])
+    kinds = to_arrow_schema(target)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = {k: batch.column(f"_arg_{k}").to_pylist() for k in given}
+            spacing, affine = (batch.column(c).to_pylist() if c in geometry else [None] * batch.num_rows for c in ("spacing", "affine"))
+            for k, (data, shape) in enumerate(zip(arrays(batch.column("data")), batch.column("shape").to_pylist(), strict=True)):
+                if data is None or shape is None:
+                    continue
+                rows = function(Volume(data.reshape(shape, order="F"), None if spacing[k] is None else np.asarray(spacing[k], float), None if affine[k] is None else np.asarray(affine[k], float).reshape(3, 4), {n: c[k] for n, c in own.items()}))
+                if not rows:
+                    continue
+                same = pa.array([k] * len(rows))
+                made = [batch.column(c).take(same) for c in keep]
+                for column, kind in zip(zip(*rows, strict=True), kinds.types[len(keep) :], strict=True):
+                    made.append(lists(list(column), kind) if pa.types.is_list(kind) else pa.array(column, kind))
+                yield pa.record_batch([m.cast(t) for m, t in zip(made, kinds.types, strict=True)], names=kinds.names)
+
+    return wide.mapInArrow(run, target)

@@ -131,10 +131,17 @@ add(
     VOXELS + "SELECT vec_id, count(*) AS n, greatest(min(x) - 1, 0) AS x0, greatest(min(y) - 1, 0) AS y0, greatest(min(z) - 1, 0) AS z0, least(max(x) + 2, 4) AS x1, least(max(y) + 2, 4) AS y1, least(max(z) + 2, 4) AS z1 FROM c WHERE v > 0.2::DOUBLE GROUP BY vec_id HAVING count(*) >= 1.28",
 )
 add("label_voxel_counts", lambda df: df.select("vec_id", F.size(F.filter("data", lambda v: v > 0.1)).cast("long").alias("positive"), F.size(F.filter("data", lambda v: v <= 0.1)).cast("long").alias("negative")), VOXELS + "SELECT vec_id, count(*) FILTER (v > 0.1::DOUBLE) AS positive, count(*) FILTER (v <= 0.1::DOUBLE) AS negative FROM c GROUP BY vec_id")
+DRAWN = f"{u(SEED_KEY, chr(39) + 'label' + chr(39), 'vec_id', 'k')}"
+CENTRED = ", ".join(f"greatest(0, {c} - 1)::INT AS {c}0, least(greatest(0, {c} - 1) + {s}, 4)::INT AS {c}1" for c, s in zip("xyz", (2, 3, 2), strict=True))
 add(
     "label_aware_regions",
-    lambda df: sampling.label_aware_centres(df, 0.1, 3, 2, SEED),
-    VOXELS + f", r AS (SELECT vec_id, v > 0.1::DOUBLE AS positive, i, row_number() OVER (PARTITION BY vec_id, v > 0.1::DOUBLE ORDER BY {u(SEED_KEY, chr(39) + 'label' + chr(39), 'vec_id', 'i')}, i)::INT AS k FROM c) SELECT vec_id, positive, k, i FROM r WHERE k <= CASE WHEN positive THEN 3 ELSE 2 END",
+    lambda df: sampling.label_aware_regions(df, [2, 3, 2], 5, SEED, ratio=1.5, background=0.1),
+    f"WITH k AS (SELECT vec_id, list_filter(range(64), lambda i: embedding[i + 1]::DOUBLE > 0.1::DOUBLE) AS p, list_filter(range(64), lambda i: embedding[i + 1]::DOUBLE <= 0.1::DOUBLE) AS q FROM embeddings), d AS (SELECT vec_id, k, k < 3 AS positive, CASE WHEN k < 3 THEN p ELSE q END AS own, {DRAWN} AS u FROM k, range(5) t(k)), c AS (SELECT *, own[1 + floor(u * len(own))::INT] AS i FROM d) SELECT vec_id, k::INT AS k, positive, {CENTRED} FROM (SELECT *, i % 4 AS x, (i // 4) % 4 AS y, i // 16 AS z FROM c)",
+)
+add(
+    "label_aware_fallback",
+    lambda df: sampling.label_aware_regions(df, [2, 3, 4], 3, SEED, background=9.0),
+    "SELECT vec_id, k::INT AS k, false AS positive, x0, y0, z0, x0 + 2 AS x1, y0 + 3 AS y1, z0 + 4 AS z1 FROM (SELECT vec_id, k, " + ", ".join(f"floor({u(SEED_KEY, chr(39) + 'box' + chr(39), 'vec_id', 'k', chr(39) + str(a) + chr(39))} * {4 - s + 1})::INT AS {c}0" for a, (c, s) in enumerate(zip("xyz", (2, 3, 4), strict=True))) + " FROM embeddings, range(3) t(k))",
 )
 add(
     "random_regions",
@@ -174,8 +181,8 @@ def pairs(df: DataFrame) -> DataFrame:
 add("image_label_pair", pairs, VOXELS + "SELECT a.vec_id // 2 AS subject, a.i, round(a.v, 4) AS image, b.v > 0.1::DOUBLE AS label FROM c a JOIN c b ON b.vec_id = a.vec_id + 1 AND a.i = b.i WHERE a.vec_id % 2 = 0")
 add(
     "affine_point",
-    lambda df: df.select("vec_id", *[F.round(F.get("data", 0) * r[0] + F.get("data", 1) * r[1] + F.get("data", 2) * r[2] + r[3], 4).alias(c) for c, r in zip("xyz", SHIFTED, strict=True)]),
-    "SELECT vec_id, " + ", ".join(f"round(embedding[1]::DOUBLE * {r[0]}::DOUBLE + embedding[2]::DOUBLE * {r[1]}::DOUBLE + embedding[3]::DOUBLE * {r[2]}::DOUBLE + {r[3]}::DOUBLE, 4) AS {c}" for c, r in zip("xyz", SHIFTED, strict=True)) + " FROM embeddings",
+    lambda df: df.select("vec_id", *[rounded(p).alias(c) for c, p in zip("xyz", geometry.transform_point(geometry.rows_of(SHIFTED), [F.get("data", k) for k in range(3)]), strict=True)]),
+    "SELECT vec_id, " + ", ".join(sql_rounded(f"embedding[1]::DOUBLE * {r[0]}::DOUBLE + embedding[2]::DOUBLE * {r[1]}::DOUBLE + embedding[3]::DOUBLE * {r[2]}::DOUBLE + {r[3]}::DOUBLE") + f" AS {c}" for c, r in zip("xyz", SHIFTED, strict=True)) + " FROM embeddings",
 )
 IDENTITY = VOXELS + "SELECT vec_id, i, v FROM c"
 
@@ -188,8 +195,19 @@ def roundtrip(df: DataFrame, **how: object) -> DataFrame:
 
 add("nifti_roundtrip", lambda df: roundtrip(df, version=2), IDENTITY)
 add("mgzip_roundtrip", lambda df: roundtrip(df, compressed=True), IDENTITY)
-add("cast_float16", lambda df: roundtrip(df, dtype="float16"), None)
-add("cast_bfloat16", lambda df: roundtrip(df, dtype="bfloat16"), None)
+
+
+def narrow(bits: int, least: int) -> str:
+    """The nearest float with so many bits of mantissa, even of two as near."""
+    unit = f"pow(2::DOUBLE, greatest(floor(log2(abs(v))), {least}) - {bits})"
+    return VOXELS + f"SELECT vec_id, i, CASE WHEN v = 0 THEN 0 ELSE round_even(v / {unit}, 0) * {unit} END::DOUBLE AS v FROM c"
+
+
+add("cast_float16", lambda df: roundtrip(df, dtype="float16"), narrow(10, -14))
+add("cast_bfloat16", lambda df: roundtrip(df, dtype="bfloat16"), narrow(7, -126))
+add("with_dtype_float16", lambda df: intensity.with_dtype(df, "float16").select("vec_id", F.posexplode("data").alias("i", "v")), narrow(10, -14))
+add("with_dtype_int8", lambda df: intensity.with_dtype(intensity.linear(df, 400.0, 0.0), "int8").select("vec_id", F.posexplode("data").alias("i", "v")), VOXELS + "SELECT vec_id, i, least(greatest(round(v * 400), -128), 127)::DOUBLE AS v FROM c")
+add("with_dtype_uint16", lambda df: intensity.with_dtype(intensity.linear(df, 2e5, 0.0), "uint16").select("vec_id", F.posexplode("data").alias("i", "v")), VOXELS + "SELECT vec_id, i, least(greatest(round(v * 200000), 0), 65535)::DOUBLE AS v FROM c")
 add(
     "header_parse",
     lambda df: nifti.decoded(nifti.encoded(df).select(F.col("vec_id").cast("string").alias("path"), "content")).select(F.col("path").cast("long").alias("vec_id"), "version", "dtype", F.size("shape").alias("ndim"), F.aggregate("shape", F.lit(1), lambda a, d: a * d).alias("n")),
@@ -213,6 +231,62 @@ def affine_by_label() -> Column:
 add("orientation_code", lambda df: df.select("vec_id", geometry.orientation_code(affine_by_label()).alias("code")), "SELECT vec_id, CASE label % 4 WHEN 0 THEN 'RAS' WHEN 1 THEN 'LPS' WHEN 2 THEN 'LAS' ELSE 'SLA' END AS code FROM embeddings")
 
 
+ORIGIN = [10.0, 20.0, 30.0]
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """Volumes with the affine of their label's orientation and one origin."""
+    return df.withColumn("affine", F.get(F.array(*[F.array(*[F.lit(float(x)) for row, o in zip(m, ORIGIN, strict=True) for x in (*row, o)]) for m in AFFINES]), F.col("label") % 4))
+
+
+def located(df: DataFrame) -> DataFrame:
+    """Shape, spacing and affine of each volume."""
+    cells = [F.get("affine", k) + 0.0 for k in range(12)]
+    return df.select("vec_id", *[F.get("shape", k).alias(f"n{k}") for k in range(3)], *[F.get("spacing", k).alias(f"s{k}") for k in range(3)], *[c.alias(f"m{k // 4}{k % 4}") for k, c in enumerate(cells)])
+
+
+def sql_located(size: tuple[str, str, str], spacing: tuple[str, str, str], cells: list[str]) -> str:
+    """``cells``: twelve expressions over the source affine m (first at 1)."""
+    options = " ".join(f"WHEN {k} THEN [{', '.join(str(float(x)) for row, o in zip(m, ORIGIN, strict=True) for x in (*row, o))}]" for k, m in enumerate(AFFINES))
+    return f"SELECT vec_id, {', '.join(f'{n}::INT AS n{k}' for k, n in enumerate(size))}, {', '.join(f'({x})::DOUBLE AS s{k}' for k, x in enumerate(spacing))}, {', '.join(f'({c})::DOUBLE + 0 AS m{k // 4}{k % 4}' for k, c in enumerate(cells))} FROM (SELECT vec_id, label % 4 AS o, CASE label % 4 {options} END::DOUBLE[] AS m FROM embeddings)"
+
+
+def shifted_cells(start: tuple[int, int, int]) -> list[str]:
+    return [f"m[{4 * r + c + 1}]" if c < 3 else f"m[{4 * r + 4}] + " + " + ".join(f"m[{4 * r + k + 1}] * {s}" for k, s in enumerate(start)) for r in range(3) for c in range(4)]
+
+
+SAME = tuple(map(str, SPACING))
+add("crop_affine", lambda df: located(grid.crop(placed(df), [1, 0, 2], [3, 3, 9])), sql_located(("2", "3", "2"), SAME, shifted_cells((1, 0, 2))))
+add("crop_or_pad_affine", lambda df: located(grid.crop_or_pad(placed(df), [2, 7, 3])), sql_located(("2", "7", "3"), SAME, shifted_cells((1, -1, 0))))
+add("resample_affine", lambda df: located(grid.resample_trilinear(placed(df), [8, 2, 5])), sql_located(("8", "2", "5"), ("0.5", "2", "2.0"), [f"m[{k + 1}] * {(0.5, 2.0, 0.8, 1.0)[k % 4]}::DOUBLE" for k in range(12)]))
+add("resample_spacing_affine", lambda df: located(grid.resample_to_spacing(placed(df), [2.0, 0.5, 2.0])), sql_located(("2", "8", "5"), ("2", "0.5", "2"), [f"m[{k + 1}] * {(2.0, 0.5, 0.8, 1.0)[k % 4]}::DOUBLE" for k in range(12)]))
+#: The four affines turned to LPS: columns are permuted and negated, and the origin moves three voxels along each reversed axis.
+TURNED = [[-1, 0, 0, 13, 0, -1, 0, 23, 0, 0, 2.5, 30], [-1, 0, 0, 10, 0, -1, 0, 20, 0, 0, 2.5, 30], [-1, 0, 0, 10, 0, -1, 0, 23, 0, 0, 2.5, 30], [-1, 0, 0, 10, 0, -2.5, 0, 27.5, 0, 0, 1, 30]]
+add("reorient_affine", lambda df: located(grid.reorient(placed(df), "LPS")), sql_located(("4", "4", "4"), ("1", "CASE WHEN o = 3 THEN 2.5 ELSE 1 END", "CASE WHEN o = 3 THEN 1 ELSE 2.5 END"), [f"CASE o {' '.join(f'WHEN {j} THEN {t[k]}' for j, t in enumerate(TURNED))} END" for k in range(12)]))
+LPS = [at("3 - x", "3 - y", "z"), at("x", "y", "z"), at("x", "3 - y", "z"), at("z", "x", "3 - y")]
+remapped("reorient_from_affine", lambda df: grid.reorient(placed(df), "LPS"), (4, 4, 4), "CASE label % 4 " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(LPS)) + " END")
+NEAREST = [f"(round({p}))::INT" for p in PLACE]
+remapped("apply_affine_nearest", lambda df: grid.apply_affine(df, SHIFTED, "nn"), (4, 4, 4), inside(*NEAREST))
+add("spacing_from_affine", lambda df: placed(df).select("vec_id", geometry.spacing_of(F.array(*[F.slice("affine", 4 * r + 1, 4) for r in range(3)])).alias("s")).select("vec_id", *[F.get("s", k).alias(f"s{k}") for k in range(3)]), "SELECT vec_id, 1::DOUBLE AS s0, 1::DOUBLE AS s1, 2.5::DOUBLE AS s2 FROM embeddings")
+
+
+def composed(df: DataFrame) -> DataFrame:
+    """Scaled, moved and flipped: the three affines as one, applied to a point."""
+    first = geometry.then(geometry.then(geometry.scale([2.0, 3.0, 0.5]), geometry.translate([1.0, F.get("data", 3), -2.0])), geometry.flip_axes([0, 2], [4, 4, 4]))
+    return df.select("vec_id", first.alias("m"), "data").select("vec_id", *[rounded(p).alias(c) for c, p in zip("xyz", geometry.transform_point(F.col("m"), [F.get("data", k) for k in range(3)]), strict=True)])
+
+
+add("affine_then", composed, "SELECT vec_id, " + ", ".join(sql_rounded(x) + f" AS {c}" for c, x in (("x", "3 - (e[1] * 2 + 1)"), ("y", "e[2] * 3 + e[4]"), ("z", "3 - (e[3] * 0.5::DOUBLE - 2)"))) + " FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)")
+add("orientation_affine", lambda df: df.select("vec_id", geometry.of_code(F.get(F.array(*map(F.lit, ["ras", "LPS", "LAS", "SLX"])), F.col("label") % 4), F.array(*map(F.lit, SPACING))).alias("m")).select("vec_id", geometry.is_code(geometry.orientation_code(F.col("m"))).alias("known"), geometry.orientation_code(F.col("m")).alias("code")).where("known"), "SELECT vec_id, true AS known, CASE label % 4 WHEN 0 THEN 'RAS' WHEN 1 THEN 'LPS' WHEN 2 THEN 'LAS' END AS code FROM embeddings WHERE label % 4 < 3")
+
+
+def patch_voxels(df: DataFrame, **how: object) -> DataFrame:
+    return sampling.patches(df, [2, 4, 2], **how).select("vec_id", "k", "x0", "y0", "z0", F.posexplode("data").alias("i", "v")).withColumn("v", rounded("v"))
+
+
+PATCH = f"SELECT vec_id, k::INT AS k, x0::INT AS x0, y0::INT AS y0, z0::INT AS z0, i::INT AS i, {sql_rounded(at('x0 + i % 2', 'y0 + (i // 2) % 4', 'z0 + i // 8'))} AS v FROM (SELECT vec_id, embedding::DOUBLE[] AS e, x // 2 + 2 * (z // 2) AS k, x AS x0, 0 AS y0, z AS z0 FROM embeddings, range(0, 3, 2) a(x), range(0, 3, 2) b(z)), range(16) t(i)"
+add("patch_voxels", patch_voxels, PATCH)
+add("patch_voxels_exact_n", lambda df: patch_voxels(df, count=3), PATCH + " WHERE k < 3")
 def own_affine() -> Column:
     """Near the identity, sheared by the volume's first voxels."""
     e = [F.get("data", k) for k in range(9)]
