@@ -14,6 +14,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from voxframe.operators.volume import arrays
 
 DTYPES = {2: "u1", 256: "i1", 4: "i2", 512: "u2", 8: "i4", 768: "u4", 1024: "i8", 1280: "u8", 16: "f4", 64: "f8", 16384: "f2", 16385: "bf16"}
 NAMES = {"u1": "uint8", "i1": "int8", "i2": "int16", "u2": "uint16", "i4": "int32", "u4": "uint32", "i8": "int64", "u8": "uint64", "f4": "float32", "f8": "float64", "f2": "float16", "bf16": "bfloat16"}
@@ -108,6 +112,13 @@ def unpacked(content: bytes) -> bytes:
     return gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
 
 
+def numbers(kind: str, order: str, raw: bytes) -> np.ndarray:
+    """Stored values of a type and byte order."""
+    if kind == "bf16":
+        return (np.frombuffer(raw, order + "u2").astype("<u4") << 16).view("<f4")
+    return np.frombuffer(raw, order + kind)
+
+
 def stored(header: Header, raw: bytes) -> np.ndarray:
     """Stored values in file order."""
     kind = DTYPES[header.code]
@@ -115,10 +126,7 @@ def stored(header: Header, raw: bytes) -> np.ndarray:
     n = int(np.prod(header.shape, dtype=object))
     if len(raw) < header.offset + n * wide:
         raise ValueError("file shorter than its data")
-    if kind == "bf16":
-        half = np.frombuffer(raw, header.order + "u2", n, header.offset)
-        return (half.astype("<u4") << 16).view("<f4")
-    return np.frombuffer(raw, header.order + kind, n, header.offset)
+    return numbers(kind, header.order, memoryview(raw)[header.offset : header.offset + n * wide])
 
 
 def to_bfloat16(values: np.ndarray) -> np.ndarray:
@@ -178,12 +186,14 @@ def members(content: bytes, chunk: int = 1 << 20, level: int = 1) -> bytes:
 def decoded(files: DataFrame, box: tuple[list[int], list[int]] | None = None) -> DataFrame:
     """Rows of (path, content) as volumes; ``box`` (start, stop) keeps a sub-box and moves the affine's origin. Malformed files raise."""
 
+    kinds = to_arrow_schema(StructType.fromDDL(SCHEMA))
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 raw = unpacked(content)
                 h = parse(raw)
-                values, shape, affine = stored(h, raw).astype(float) * h.slope + h.inter, h.shape, h.affine
+                values, shape, affine = stored(h, raw), h.shape, h.affine
                 if box is not None:
                     lo = [min(max(a, 0), d) for a, d in zip(box[0], shape, strict=False)]
                     hi = [max(min(b, d), a) for a, b, d in zip(lo, box[1], shape, strict=False)]
@@ -192,9 +202,9 @@ def decoded(files: DataFrame, box: tuple[list[int], list[int]] | None = None) ->
                     affine = [*affine]
                     for r in range(3):
                         affine[4 * r + 3] += sum(affine[4 * r + k] * lo[k] for k in range(min(3, len(lo))))
-                row = ([path], [h.version], [h.order == "<"], [NAMES[DTYPES[h.code]]], [shape], [h.spacing], [list(map(float, affine))], [float(h.slope)], [float(h.inter)], [values])
-                kinds = (pa.string(), pa.int32(), pa.bool_(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.list_(pa.float64()))
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(row, kinds, strict=True)], names=["path", "version", "little_endian", "dtype", "shape", "spacing", "affine", "slope", "inter", "data"])
+                values = values.astype(float) * h.slope + h.inter
+                row = (path, h.version, h.order == "<", NAMES[DTYPES[h.code]], shape, h.spacing, list(map(float, affine)), float(h.slope), float(h.inter), values)
+                yield pa.record_batch([pa.array([c], t) for c, t in zip(row, kinds.types, strict=True)], names=kinds.names)
 
     return files.select("path", "content").mapInArrow(read, SCHEMA)
 
@@ -210,7 +220,7 @@ def encoded(df: DataFrame, dtype: str = "float32", version: int = 1, compressed:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            files = [encode(np.asarray(d, float), s, dtype, version=version) for s, d in zip(batch.column("shape").to_pylist(), batch.column("data").to_pylist(), strict=True)]
+            files = [encode(d, s, dtype, version=version) for s, d in zip(batch.column("shape").to_pylist(), arrays(batch.column("data")), strict=True)]
             yield pa.record_batch([batch.column("vec_id"), pa.array([members(f) if compressed else f for f in files], pa.binary())], names=["vec_id", "content"])
 
     return df.select("vec_id", "shape", "data").mapInArrow(write, "vec_id long, content binary")
