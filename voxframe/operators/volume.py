@@ -336,14 +336,13 @@ def to_integer(low: int, high: int) -> Kernel:
 
 def narrowed(bits: int, least: int) -> Kernel:
     """Rounded to ``bits`` stored bits of mantissa, even of two as near, with exponents from ``least``; what is beyond the range is infinite."""
-    top = 1 - least
+    beyond = 2.0 ** (2 - least)
 
     def run(v: Volume) -> Volume:
         x = v.grid.astype(float, copy=False)
         unit = np.ldexp(1.0, np.maximum(np.frexp(x)[1] - 1, least) - bits)
         out = np.rint(x / unit) * unit
-        out[np.abs(out) >= 2.0**top] = np.copysign(np.inf, out[np.abs(out) >= 2.0**top])
-        return replace(v, grid=out)
+        return replace(v, grid=np.where(np.abs(out) >= beyond, np.copysign(np.inf, out), out))
 
     return of("narrowed", run)
 

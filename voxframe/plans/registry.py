@@ -9,10 +9,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from voxframe.functions import geometry
+from voxframe.functions import diagnostics, geometry
 from voxframe.operators import augment, grid, intensity, sampling, subjects
 from voxframe.plans.pipeline import TransformPipeline
-from voxframe.sources import nifti
+from voxframe.sources import files as volume_files, nifti
 
 SHAPE, SPACING, SEED = [4, 4, 4], [1.0, 1.0, 2.5], 42
 SHIFTED = [[0.8, 0.1, 0.0, 0.3], [0.0, 0.9, 0.0, 0.2], [0.0, 0.0, 1.0, -0.5]]
@@ -372,9 +372,69 @@ BENCHMARK = "SELECT event_type, round(avg(value), 4) AS mean, round(stddev_pop(v
 
 def profiler_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count, total, mean, extremes and share of time of each operation."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.min("value").alias("least"), F.max("value").alias("most"))
-    whole = e.agg(F.sum("total").alias("whole"))
-    return e.crossJoin(F.broadcast(whole)).select("event_type", "n", F.round("total", 2).alias("total"), F.round(F.col("total") / F.col("n"), 4).alias("mean"), F.round("least", 4).alias("least"), F.round("most", 4).alias("most"), F.round(100 * F.col("total") / F.col("whole"), 3).alias("percent"))
+    e = diagnostics.summary(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_type", "value")
+    return e.select("event_type", "n", F.round("total", 2).alias("total"), *[F.round(c, 4).alias(c) for c in ("mean", "least", "most")], F.round("percent", 3).alias("percent"))
+
+
+def benchmark_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operations of users with even ids against the others."""
+    e = diagnostics.compared(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_type", "value", F.col("user_id") % 2 == 0)
+    return e.select("event_type", *[F.round(c, 4).alias(c) for c in ("baseline", "other", "speedup")])
+
+
+def formatted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values as durations and as sizes."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", diagnostics.duration(F.floor(F.col("value")) * 1000).alias("took"), diagnostics.size(F.floor(F.col("value")) * 1000000).alias("size"))
+
+
+COMPARE = "SELECT event_type, round(a, 4) AS baseline, round(b, 4) AS other, round(a / b, 4) AS speedup FROM (SELECT event_type, avg(value) FILTER (user_id % 2 = 0) AS a, avg(value) FILTER (user_id % 2 <> 0) AS b FROM events GROUP BY 1) WHERE a IS NOT NULL AND b IS NOT NULL"
+FORMATTED = "SELECT event_id, CASE WHEN t < 1 THEN printf('%.1f us', t * 1000.0) WHEN t < 1000 THEN printf('%.1f ms', t * 1.0) WHEN t < 60000 THEN printf('%.2f s', t / 1000.0) ELSE printf('%d min %.0f s', t // 60000, (t % 60000) / 1000.0) END AS took, CASE WHEN n < 1024 THEN printf('%d B', n) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576.0) ELSE printf('%.1f GB', n / 1073741824.0) END AS size FROM (SELECT event_id, floor(value)::BIGINT * 1000 AS t, floor(value)::BIGINT * 1000000 AS n FROM events)"
+
+
+def _saved(spark: SparkSession, sf_dir: str, compression: str = "none", dtype: str = "float32") -> str:
+    """The folder to which all volumes were written, with the affines of their labels; this runs the write."""
+    folder = volume_files.work_folder(spark, "volumes")
+    volume_files.save(placed(volumes(spark, sf_dir)), folder, compression=compression, dtype=dtype).write.format("noop").mode("overwrite").save()
+    return folder
+
+
+def _by_id(df: DataFrame) -> DataFrame:
+    return df.withColumn("vec_id", F.regexp_extract("path", r"(\d+)\.[a-z.]+$", 1).cast("long"))
+
+
+def _voxels(df: DataFrame) -> DataFrame:
+    return _by_id(df).select("vec_id", F.posexplode("data").alias("i", "v"))
+
+
+FILE_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "files_load": lambda spark, sf: _voxels(volume_files.load(spark, _saved(spark, sf))),
+    "files_load_gzip": lambda spark, sf: _voxels(volume_files.load(spark, _saved(spark, sf, "gzip"))),
+    "files_load_cropped": lambda spark, sf: _voxels(volume_files.load_cropped(spark, _saved(spark, sf), [1, 0, 2], [2, 3, 2])),
+    "files_load_cropped_gzip": lambda spark, sf: _voxels(volume_files.load_cropped(spark, _saved(spark, sf, "mgzip", "float64"), [1, 0, 2], [2, 3, 2])),
+    "files_header": lambda spark, sf: _by_id(volume_files.info(volume_files.load_header(spark, _saved(spark, sf, "gzip", "int16")))).select("vec_id", "orientation", "dtype", "num_voxels", "data_size", *[F.get("spacing", k).alias(f"s{k}") for k in range(3)]),
+    "files_convert_mgzip": lambda spark, sf: _converted(spark, _saved(spark, sf)),
+    "files_load_with_crop": lambda spark, sf: _voxels(volume_files.load_with_crop(spark, _saved(spark, sf, dtype="float64"), volume_files.CropConfig((2, 4, 4), None, None, "LPS"))).withColumn("v", rounded("v")),
+}
+
+
+def _converted(spark: SparkSession, folder: str) -> DataFrame:
+    target = volume_files.work_folder(spark, "members")
+    volume_files.convert_to_mgzip(spark, folder, target).write.format("noop").mode("overwrite").save()
+    return _voxels(volume_files.load(spark, target))
+
+
+CROPPED = "SELECT vec_id, o::INT AS i, embedding[(2 + o % 2 + 4 * ((o // 2) % 3) + 16 * (2 + o // 6))::INT]::DOUBLE AS v FROM embeddings, range(12) t(o)"
+#: The central 2 x 4 x 4 of each volume, turned to LPS: two voxels lie along its first axis, which is the third for the permuted affine.
+CENTRE = {0: ((2, 4, 4), at("2 - x", "3 - y", "z")), 1: ((2, 4, 4), at("x + 1", "y", "z")), 2: ((2, 4, 4), at("x + 1", "3 - y", "z")), 3: ((4, 4, 2), at("z + 1", "x", "3 - y"))}
+FILE_ORACLES = {
+    "files_load": IDENTITY,
+    "files_load_gzip": IDENTITY,
+    "files_load_cropped": CROPPED,
+    "files_load_cropped_gzip": CROPPED,
+    "files_convert_mgzip": IDENTITY,
+    "files_header": "SELECT vec_id, CASE label % 4 WHEN 0 THEN 'RAS' WHEN 1 THEN 'LPS' WHEN 2 THEN 'LAS' ELSE 'SLA' END AS orientation, 'int16' AS dtype, 64::BIGINT AS num_voxels, 128::BIGINT AS data_size, 1::DOUBLE AS s0, 1::DOUBLE AS s1, 2.5::DOUBLE AS s2 FROM embeddings",
+    "files_load_with_crop": " UNION ALL ".join(f"SELECT vec_id, o::INT AS i, {sql_rounded(v)} AS v FROM (SELECT vec_id, embedding::DOUBLE[] AS e, o, (o % {n[0]})::INT AS x, ((o // {n[0]}) % {n[1]})::INT AS y, (o // {n[0] * n[1]})::INT AS z FROM embeddings, range(32) t(o) WHERE label % 4 = {k})" for k, (n, v) in CENTRE.items()),
+}
 
 
 PROFILER = "WITH e AS (SELECT event_type, count(*) AS n, sum(value) AS total, min(value) AS least, max(value) AS most FROM events GROUP BY 1) SELECT event_type, n, round(total, 2) AS total, round(total / n, 4) AS mean, round(least, 4) AS least, round(most, 4) AS most, round(100 * total / sum(total) OVER (), 3) AS percent FROM e"
@@ -385,8 +445,8 @@ def _over_volumes(query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _over_volumes(q) for name, q in QUERIES.items()} | {"profiler_summary": profiler_summary, "profiler_bottlenecks": profiler_bottlenecks, "benchmark_summary": benchmark_summary}
+    return {name: _over_volumes(q) for name, q in QUERIES.items()} | {"profiler_summary": profiler_summary, "profiler_bottlenecks": profiler_bottlenecks, "benchmark_summary": benchmark_summary, "benchmark_compare": benchmark_compare, "formatted_values": formatted_values} | FILE_QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES | {"profiler_summary": PROFILER, "profiler_bottlenecks": BOTTLENECKS, "benchmark_summary": BENCHMARK}
+    return ORACLES | {"profiler_summary": PROFILER, "profiler_bottlenecks": BOTTLENECKS, "benchmark_summary": BENCHMARK, "benchmark_compare": COMPARE, "formatted_values": FORMATTED} | FILE_ORACLES

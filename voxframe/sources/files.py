@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import posixpath
 import re
+import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -20,6 +21,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from voxframe.errors import ConfigurationError
 from voxframe.functions.voxels import uniform
 from voxframe.operators import grid
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -182,6 +184,26 @@ def load(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return each_file(list_files(spark, path), lambda p, data, row: _volume(p, data, [], []), VOLUME)
 
 
+def load_cached(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``load``, kept by the executors in memory and on disk once it is read; the same files share one copy."""
+    return load(spark, path).persist()
+
+
+def clear_cache(spark: SparkSession) -> None:
+    """Let go of all that is kept."""
+    spark.catalog.clearCache()
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one of ``spark.checkpoint.dir``, which the cluster shares; a temporary one where that is unset and the master is local."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ConfigurationError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="voxframe-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def load_cropped(spark: SparkSession, path: str | list[str], offset: list[int], shape: list[int]) -> DataFrame:
     """The box of ``shape`` at ``offset``, cut to each volume; the affine's origin moves with it."""
     stop = [a + s for a, s in zip(offset, shape, strict=True)]
