@@ -207,8 +207,8 @@ def grouped(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
     edges = banded.join(hubs, "band").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     clusters = common.written(components(edges), "clusters")
     wanted = clusters.join(classes.select(F.col("rep").alias("node"), "set_key"), "node").select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"), F.col("set_key").alias("wanted"))
-    # written, so that its size is known: texts are shuffled only where it is beyond the broadcast threshold
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(common.written(wanted, "wanted"), "doc_id")
+    # candidates grow with the corpus: the same join at every size
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted.hint("merge"), "doc_id")
     sets = full_sets(texts, width).where("set_key = wanted").select("doc_id", "cluster", "set_key", "shingles")
     links = verified(common.written(sets.dropDuplicates(["doc_id", "cluster", "set_key"]), "sets"), percent)
     # a doc_id with several texts joins their classes
