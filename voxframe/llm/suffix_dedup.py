@@ -27,7 +27,7 @@ from voxframe.llm.shingles import mixed
 
 LENGTH = 200
 #: Bytes of contexts in a shard, contexts of one anchor in a shard, digests in a merge bucket.
-SHARD_BYTES, ANCHOR_CONTEXTS, MERGE_ROWS = 3 << 18, 2000, 200_000
+SHARD_BYTES, ANCHOR_CONTEXTS, MERGE_ROWS = 3 << 17, 2000, 200_000
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -94,7 +94,7 @@ def anchors(raw: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarr
 def suffix_array(text: np.ndarray, stop: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Order and ranks of the suffixes of ``text``, each cut at ``stop[i]``, sorted to ``depth`` bytes at least.
 
-    Larsson-Sadakane: suffixes are grouped by their first 8 bytes; then only groups of more than one are
+    Larsson-Sadakane: suffixes are grouped by their first 7 bytes; then only groups of more than one are
     sorted, by the ranks h further on, and h doubles.
     """
     n = text.size
