@@ -40,8 +40,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     verdict = common.written(minhash.grouped(docs, percent=NEAR_PERCENT).select("doc_id", "set_key", "kept"), "verdict")
     rows = verdict.where("doc_id IS NOT NULL AND kept").groupBy("doc_id").agg(F.count("*").alias("n"))
-    single = docs.join(rows.where("n = 1"), "doc_id", "left_semi")
-    others = docs.join(rows.where("n > 1"), "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id IS NULL"))
+    # the kept ids grow with the corpus: the same joins at every size, over one shuffle of the documents
+    single = docs.join(rows.where("n = 1").hint("merge"), "doc_id", "left_semi")
+    others = docs.join(rows.where("n > 1").hint("merge"), "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id IS NULL"))
     # the verdict has no texts: the sets of the few rows that it can't tell apart are made anew
     key = F.when(F.size("shingles") > 0, F.col("set_key"))
     sets = minhash.full_sets(others.select("doc_id", "text", F.struct(*docs.columns).alias("row"))).select("doc_id", key.alias("set_key"), "row")
