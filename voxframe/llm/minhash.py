@@ -145,32 +145,66 @@ def links_within(values: np.ndarray, ends: np.ndarray, side: np.ndarray, percent
 
 
 def against_hubs(candidates: DataFrame, percent: int) -> DataFrame:
-    """(cluster, doc_id, set_key, near, far) of each candidate against one set of its cluster's least doc_id.
+    """(cluster, doc_id, set_key, size, near, far) of each candidate against one set of its cluster's least doc_id.
 
     near: the two are linked; far: their Jaccard distance.
     """
     hubs = candidates.where("doc_id = cluster").groupBy("cluster").agg(F.min_by("shingles", "set_key").alias("hub"))
     shared = F.size(F.array_intersect("shingles", "hub"))
-    both = candidates.join(hubs, "cluster").select("cluster", "doc_id", "set_key", shared.alias("i"), (F.size("shingles") + F.size("hub")).alias("n"))
-    return both.select("cluster", "doc_id", "set_key", (F.col("i") * 100 >= percent * (F.col("n") - F.col("i"))).alias("near"), (1 - F.col("i") / (F.col("n") - F.col("i"))).alias("far"))
+    both = candidates.join(hubs, "cluster").select("cluster", "doc_id", "set_key", F.size("shingles").alias("size"), shared.alias("i"), (F.size("shingles") + F.size("hub")).alias("n"))
+    return both.select("cluster", "doc_id", "set_key", "size", (F.col("i") * 100 >= percent * (F.col("n") - F.col("i"))).alias("near"), (1 - F.col("i") / (F.col("n") - F.col("i"))).alias("far"))
 
 
-def verified(candidates: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among candidates (doc_id, cluster, set_key, shingles) of one cluster that join the same documents as all links do.
+def left_open(candidates: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links to hubs; the candidates whose other links the hubs don't settle, of clusters with two or more; these clusters' blocks.
 
-    Each is compared with its cluster's hub first. Two that are linked to the hub need no comparison, and,
-    Jaccard distances being a metric, one at a distance x from the hub can be linked only to those between x - reach and
-    x + reach. So a group of near copies of one text, however large, costs one comparison a member. What is left is
-    compared in blocks: a cluster beyond a block's size is dealt by a hash of doc_id to parts, and each pair of parts makes a block.
+    Two that are linked to the hub need no comparison, and, Jaccard distances being a metric, one at a distance x from
+    the hub can be linked only to those between x - reach and x + reach. So a group of near copies of one text, however
+    large, costs one comparison a member.
     """
     measured = common.written(against_hubs(candidates, percent), "hub-distances")
     reach = 1 - percent / 100 + 1e-9
     least = measured.where("NOT near").groupBy("cluster").agg(F.min("far").alias("least"))
-    open_ = measured.join(least, "cluster").where(~F.col("near") | (F.col("far") >= F.col("least") - reach)).select("cluster", "doc_id", "set_key")
-    candidates = candidates.join(open_, ["cluster", "doc_id", "set_key"]).select("cluster", "doc_id", "shingles")
-    sized = candidates.groupBy("cluster").agg(F.count("*").alias("m"), F.sum(F.size("shingles")).alias("s"))
-    parts = sized.where("m > 1").select("cluster", F.greatest(F.ceil(F.col("m") / BLOCK_MEMBERS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("parts"))
-    dealt = candidates.join(parts, "cluster").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    rest = measured.join(least, "cluster").where(~F.col("near") | (F.col("far") >= F.col("least") - reach)).select("cluster", "doc_id", "set_key", "size")
+    sized = rest.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("size").alias("s")).where("m > 1")
+    parts = sized.select("cluster", F.greatest(F.ceil(F.col("m") / BLOCK_MEMBERS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    parts = common.written(parts, "open-clusters")
+    unsettled = candidates.join(rest.join(parts, "cluster").select("cluster", "doc_id", "set_key", "parts"), ["cluster", "doc_id", "set_key"])
+    return measured.where("near").select(F.col("doc_id").alias("a"), F.col("cluster").alias("b")), unsettled, parts
+
+
+def split(candidates: DataFrame, percent: int) -> DataFrame:
+    """The candidates in finer clusters, none of which a link leaves; those alone in theirs go.
+
+    A set of n shingles has percent * n / 100 of them in common with any that it is linked to. So two linked sets share one of
+    the others and one more, each set's rarest ones in its cluster being taken for these. Texts that have a template in
+    common, but not what is rare in them, part here.
+    """
+    each = candidates.select("cluster", "doc_id", "set_key", F.explode("shingles").alias("shingle"), F.lit(1).alias("one"))
+    counted = common.beside(each, ["cluster", "shingle"], F.sum, "one", "n")
+    order = F.array_sort(F.collect_list(F.struct("n", "shingle")))
+    sets = counted.groupBy("cluster", "doc_id", "set_key").agg(order.alias("order"))
+    size = F.size("order")
+    rare = sets.select("cluster", "doc_id", F.explode(F.slice("order", F.lit(1), size - F.ceil(size * percent / 100 - 1e-6).cast("int") + 1)).alias("rare"))
+    meeting = rare.where("rare.n > 1").select("cluster", "doc_id", F.col("rare.shingle").alias("shingle"))
+    edges = common.beside(meeting, ["cluster", "shingle"], F.min, "doc_id", "least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    return candidates.drop("cluster").join(components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("cluster")), "doc_id")
+
+
+def verified(candidates: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among candidates (doc_id, cluster, set_key, shingles) of one cluster that join the same documents as all links do.
+
+    Each is compared with its cluster's hub first. Of what that leaves open, clusters beyond a block's size are split
+    where no link can cross, and each part has a hub again. What is then left is compared in blocks: a cluster beyond a
+    block's size is dealt by a hash of doc_id to parts, and each pair of parts makes a block.
+    """
+    links, unsettled, parts = left_open(candidates, percent)
+    if not parts.where("parts > 1").isEmpty():
+        large = unsettled.where("parts > 1").drop("parts")
+        more, again, _ = left_open(common.written(split(large, percent), "split-clusters"), percent)
+        columns = ["cluster", "doc_id", "shingles", "parts"]
+        links, unsettled = links.union(more), unsettled.where("parts = 1").select(*columns).union(again.select(*columns))
+    dealt = unsettled.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     pairs = dealt.select("cluster", "doc_id", "shingles", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     blocks = pairs.select("cluster", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), (F.col("part") > F.col("other")).alias("second"), "doc_id", "shingles")
 
@@ -184,7 +218,7 @@ def verified(candidates: DataFrame, percent: int) -> DataFrame:
         a, b = (np.asarray(x, np.int64) for x in (zip(*found, strict=True) if found else ((), ())))
         return pa.table({"a": ids[a] if len(a) else np.zeros(0, np.int64), "b": ids[b] if len(b) else np.zeros(0, np.int64)})
 
-    return blocks.groupBy("cluster", "lo", "hi").applyInArrow(linked, "a long, b long").union(measured.where("near").select("doc_id", "cluster"))
+    return blocks.groupBy("cluster", "lo", "hi").applyInArrow(linked, "a long, b long").union(links)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
