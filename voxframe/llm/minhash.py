@@ -144,33 +144,39 @@ def links_within(values: np.ndarray, ends: np.ndarray, side: np.ndarray, percent
     return found
 
 
+def counted(members: DataFrame) -> DataFrame:
+    """``members`` with the number of rows of their cluster in ``many``."""
+    return common.beside(members.withColumn("one", F.lit(1)), ["cluster"], F.sum, "one", "many").drop("one")
+
+
 def against_hubs(candidates: DataFrame, percent: int) -> DataFrame:
     """(cluster, doc_id, set_key, size, near, far) of each candidate against one set of its cluster's least doc_id.
 
-    near: the two are linked; far: their Jaccard distance.
+    near: the two are linked; far: their Jaccard distance. A cluster's members are dealt to parts, each with a copy of the hub.
     """
-    hubs = candidates.where("doc_id = cluster").groupBy("cluster").agg(F.min_by("shingles", "set_key").alias("hub"))
+    parts = F.ceil(F.col("many") / BLOCK_MEMBERS).cast("int")
+    hubs = candidates.where("doc_id = cluster").groupBy("cluster").agg(F.min_by("shingles", "set_key").alias("hub"), F.max("many").alias("many"))
+    hubs = hubs.select("cluster", "hub", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    dealt = candidates.withColumn("part", F.pmod(F.xxhash64("set_key"), parts).cast("int"))
     shared = F.size(F.array_intersect("shingles", "hub"))
-    both = candidates.join(hubs, "cluster").select("cluster", "doc_id", "set_key", F.size("shingles").alias("size"), shared.alias("i"), (F.size("shingles") + F.size("hub")).alias("n"))
+    both = dealt.join(hubs, ["cluster", "part"]).select("cluster", "doc_id", "set_key", F.size("shingles").alias("size"), shared.alias("i"), (F.size("shingles") + F.size("hub")).alias("n"))
     return both.select("cluster", "doc_id", "set_key", "size", (F.col("i") * 100 >= percent * (F.col("n") - F.col("i"))).alias("near"), (1 - F.col("i") / (F.col("n") - F.col("i"))).alias("far"))
 
 
-def left_open(candidates: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Links to hubs; the candidates whose other links the hubs don't settle, of clusters with two or more; these clusters' blocks.
+def left_open(candidates: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links to hubs, and (cluster, doc_id, set_key, parts) of the candidates whose other links the hubs don't settle.
 
     Two that are linked to the hub need no comparison, and, Jaccard distances being a metric, one at a distance x from
     the hub can be linked only to those between x - reach and x + reach. So a group of near copies of one text, however
-    large, costs one comparison a member.
+    large, costs one comparison a member. ``parts``: those that the open ones of a cluster are dealt to for blocks.
     """
     measured = common.written(against_hubs(candidates, percent), "hub-distances")
     reach = 1 - percent / 100 + 1e-9
-    least = measured.where("NOT near").groupBy("cluster").agg(F.min("far").alias("least"))
-    rest = measured.join(least, "cluster").where(~F.col("near") | (F.col("far") >= F.col("least") - reach)).select("cluster", "doc_id", "set_key", "size")
-    sized = rest.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("size").alias("s")).where("m > 1")
-    parts = sized.select("cluster", F.greatest(F.ceil(F.col("m") / BLOCK_MEMBERS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("parts"))
-    parts = common.written(parts, "open-clusters")
-    unsettled = candidates.join(rest.join(parts, "cluster").select("cluster", "doc_id", "set_key", "parts"), ["cluster", "doc_id", "set_key"])
-    return measured.where("near").select(F.col("doc_id").alias("a"), F.col("cluster").alias("b")), unsettled, parts
+    apart = common.beside(measured.withColumn("away", F.expr("if(near, null, far)")), ["cluster"], F.min, "away", "least")
+    rest = apart.where(F.expr("least IS NOT NULL") & (~F.col("near") | (F.col("far") >= F.col("least") - reach))).select("cluster", "doc_id", "set_key", "size")
+    sized = common.beside(counted(rest), ["cluster"], F.sum, "size", "s").where("many > 1")
+    parts = F.greatest(F.ceil(F.col("many") / BLOCK_MEMBERS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
+    return measured.where("near").select(F.col("doc_id").alias("a"), F.col("cluster").alias("b")), common.written(sized.select("cluster", "doc_id", "set_key", parts.alias("parts")), "open-sets")
 
 
 def split(candidates: DataFrame, percent: int) -> DataFrame:
@@ -181,29 +187,31 @@ def split(candidates: DataFrame, percent: int) -> DataFrame:
     common, but not what is rare in them, part here.
     """
     each = candidates.select("cluster", "doc_id", "set_key", F.explode("shingles").alias("shingle"), F.lit(1).alias("one"))
-    counted = common.beside(each, ["cluster", "shingle"], F.sum, "one", "n")
+    ranked = common.beside(each, ["cluster", "shingle"], F.sum, "one", "n")
     order = F.array_sort(F.collect_list(F.struct("n", "shingle")))
-    sets = counted.groupBy("cluster", "doc_id", "set_key").agg(order.alias("order"))
+    sets = ranked.groupBy("cluster", "doc_id", "set_key").agg(order.alias("order"))
     size = F.size("order")
     rare = sets.select("cluster", "doc_id", F.explode(F.slice("order", F.lit(1), size - F.ceil(size * percent / 100 - 1e-6).cast("int") + 1)).alias("rare"))
     meeting = rare.where("rare.n > 1").select("cluster", "doc_id", F.col("rare.shingle").alias("shingle"))
     edges = common.beside(meeting, ["cluster", "shingle"], F.min, "doc_id", "least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
-    return candidates.drop("cluster").join(components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("cluster")), "doc_id")
+    finer = counted(components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("cluster")))
+    return candidates.select("doc_id", "set_key", "shingles").join(finer, "doc_id")
 
 
 def verified(candidates: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among candidates (doc_id, cluster, set_key, shingles) of one cluster that join the same documents as all links do.
+    """Links (a, b) among candidates (doc_id, cluster, set_key, shingles, many) of one cluster that join the same documents as all links do.
 
     Each is compared with its cluster's hub first. Of what that leaves open, clusters beyond a block's size are split
     where no link can cross, and each part has a hub again. What is then left is compared in blocks: a cluster beyond a
     block's size is dealt by a hash of doc_id to parts, and each pair of parts makes a block.
     """
-    links, unsettled, parts = left_open(candidates, percent)
-    if not parts.where("parts > 1").isEmpty():
-        large = unsettled.where("parts > 1").drop("parts")
-        more, again, _ = left_open(common.written(split(large, percent), "split-clusters"), percent)
-        columns = ["cluster", "doc_id", "shingles", "parts"]
-        links, unsettled = links.union(more), unsettled.where("parts = 1").select(*columns).union(again.select(*columns))
+    key, columns = ["cluster", "doc_id", "set_key"], ["cluster", "doc_id", "shingles", "parts"]
+    links, rest = left_open(candidates, percent)
+    unsettled = candidates.join(rest, key)
+    if not rest.where("parts > 1").isEmpty():
+        finer = common.written(split(unsettled.where("parts > 1"), percent), "split-clusters")
+        more, again = left_open(finer, percent)
+        links, unsettled = links.union(more), unsettled.where("parts = 1").select(*columns).union(finer.join(again, key).select(*columns))
     dealt = unsettled.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     pairs = dealt.select("cluster", "doc_id", "shingles", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     blocks = pairs.select("cluster", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), (F.col("part") > F.col("other")).alias("second"), "doc_id", "shingles")
@@ -241,9 +249,10 @@ def grouped(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
     edges = banded.join(hubs, "band").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     clusters = common.written(components(edges), "clusters")
     wanted = clusters.join(classes.select(F.col("rep").alias("node"), "set_key"), "node").select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"), F.col("set_key").alias("wanted"))
+    wanted = counted(wanted)
     # candidates grow with the corpus: the same join at every size
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted.hint("merge"), "doc_id")
-    sets = full_sets(texts, width).where("set_key = wanted").select("doc_id", "cluster", "set_key", "shingles")
+    sets = full_sets(texts, width).where("set_key = wanted").select("doc_id", "cluster", "set_key", "shingles", "many")
     links = verified(common.written(sets.dropDuplicates(["doc_id", "cluster", "set_key"]), "sets"), percent)
     # a doc_id with several texts joins their classes
     several = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL").join(classes.select("set_key", "rep"), "set_key").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
