@@ -10,8 +10,8 @@ from voxframe.llm import common
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a long, b long); root is the least node it reaches.
 
-    Each step sets a grouped minimum beside the rows of its group, a node with many neighbours split by a salt. Each
-    round is written to the shared folder. The number of rounds grows with the logarithm of the longest path. Loops and
+    Each step sets a grouped minimum beside the rows of its group, a node with many neighbours split by a salt. Both
+    steps of a round are written to the shared folder. The number of rounds grows with the logarithm of the longest path. Loops and
     repeated edges change nothing; no edges give an empty table.
     """
     edges = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -23,9 +23,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b"), F.col("b")).distinct())
         before = (now["n"], now["h"])
         both = edges.union(edges.select("b", "a"))
-        nearest = common.beside(both, ["a"], F.min, "b", "m").withColumn("m", F.least("a", "m"))
-        large = nearest.where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        small = common.beside(large, ["a"], F.min, "b", "m")
-        hooked = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = hooked.union(small.select("a", F.col("m").alias("b"))).distinct()
+        nearest = common.beside(both, ["a"], F.min, m="b").withColumn("m", F.least("a", "m"))
+        large = common.written(nearest.where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large-stars")
+        small = common.beside(large, ["a"], F.min, m="b")
+        hooked = small.select("m", F.explode(F.array("a", "b")).alias("a")).where("a <> m")
+        edges = hooked.select("a", F.col("m").alias("b")).distinct()
     raise RuntimeError("components did not settle")

@@ -146,7 +146,7 @@ def links_within(values: np.ndarray, ends: np.ndarray, side: np.ndarray, percent
 
 def counted(members: DataFrame) -> DataFrame:
     """``members`` with the number of rows of their cluster in ``many``."""
-    return common.beside(members.withColumn("one", F.lit(1)), ["cluster"], F.sum, "one", "many").drop("one")
+    return common.beside(members.withColumn("one", F.lit(1)), ["cluster"], F.sum, many="one").drop("one")
 
 
 def against_hubs(candidates: DataFrame, percent: int) -> DataFrame:
@@ -172,9 +172,9 @@ def left_open(candidates: DataFrame, percent: int) -> tuple[DataFrame, DataFrame
     """
     measured = common.written(against_hubs(candidates, percent), "hub-distances")
     reach = 1 - percent / 100 + 1e-9
-    apart = common.beside(measured.withColumn("away", F.expr("if(near, null, far)")), ["cluster"], F.min, "away", "least")
+    apart = common.beside(measured.withColumn("away", F.expr("if(near, null, far)")), ["cluster"], F.min, least="away")
     rest = apart.where(F.expr("least IS NOT NULL") & (~F.col("near") | (F.col("far") >= F.col("least") - reach))).select("cluster", "doc_id", "set_key", "size")
-    sized = common.beside(counted(rest), ["cluster"], F.sum, "size", "s").where("many > 1")
+    sized = common.beside(rest.withColumn("one", F.lit(1)), ["cluster"], F.sum, many="one", s="size").where("many > 1")
     parts = F.greatest(F.ceil(F.col("many") / BLOCK_MEMBERS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
     return measured.where("near").select(F.col("doc_id").alias("a"), F.col("cluster").alias("b")), common.written(sized.select("cluster", "doc_id", "set_key", parts.alias("parts")), "open-sets")
 
@@ -187,13 +187,13 @@ def split(candidates: DataFrame, percent: int) -> DataFrame:
     common, but not what is rare in them, part here.
     """
     each = candidates.select("cluster", "doc_id", "set_key", F.explode("shingles").alias("shingle"), F.lit(1).alias("one"))
-    ranked = common.beside(each, ["cluster", "shingle"], F.sum, "one", "n")
+    ranked = common.beside(each, ["cluster", "shingle"], F.sum, n="one")
     order = F.array_sort(F.collect_list(F.struct("n", "shingle")))
     sets = ranked.groupBy("cluster", "doc_id", "set_key").agg(order.alias("order"))
     size = F.size("order")
     rare = sets.select("cluster", "doc_id", F.explode(F.slice("order", F.lit(1), size - F.ceil(size * percent / 100 - 1e-6).cast("int") + 1)).alias("rare"))
-    meeting = rare.where("rare.n > 1").select("cluster", "doc_id", F.col("rare.shingle").alias("shingle"))
-    edges = common.beside(meeting, ["cluster", "shingle"], F.min, "doc_id", "least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    meeting = common.written(rare.where("rare.n > 1").select("cluster", "doc_id", F.col("rare.shingle").alias("shingle")), "rare-shingles")
+    edges = common.beside(meeting, ["cluster", "shingle"], F.min, least="doc_id").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
     finer = counted(components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("cluster")))
     return candidates.select("doc_id", "set_key", "shingles").join(finer, "doc_id")
 
