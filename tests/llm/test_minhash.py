@@ -60,21 +60,6 @@ def test_equals_all_pairs(spark, monkeypatch, percent, members):
     assert got == brute(rows, percent)
 
 
-def test_texts_of_one_template_part_where_no_link_can_cross(spark, monkeypatch):
-    """Half of each text is the template's: bands connect them all, but only copies are linked."""
-    monkeypatch.setattr(minhash, "BLOCK_MEMBERS", 4)
-    template = [f"t{k}" for k in range(60)]
-    rows = []
-    for k in range(40):
-        own = [f"w{k}-{j}" for j in range(50)]
-        rows += [(10 * k + 1, " ".join(template + own)), (10 * k + 2, " ".join(template + own[:-2] + ["edit"]))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    sets = minhash.full_sets(docs.withColumn("cluster", minhash.F.lit(1).cast("long")))
-    parts = minhash.split(sets, 85).groupBy("cluster").agg(minhash.F.sort_array(minhash.F.collect_list("doc_id")).alias("ids")).collect()
-    assert sorted(r.ids for r in parts) == [[10 * k + 1, 10 * k + 2] for k in range(40)]
-    assert sorted(tuple(r) for r in minhash.near_duplicates(docs).collect()) == brute(rows, 85)
-
-
 def test_documents_of_the_smallest_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     assert sorted(tuple(r) for r in minhash.near_duplicates(docs).collect()) == brute([tuple(r) for r in docs.collect()], 85)

@@ -12,8 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Most text bytes that a Python worker holds at once, save for a single longer text.
 BLOCK_BYTES = 8 << 20
-#: Parts of a key's rows in ``beside``.
-SALTS = 32
 _OWN: str | None = None
 _MADE: list[str] = []
 _TABLES: list[str] = []
@@ -117,18 +115,6 @@ def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
     return df.mapInArrow(function, schema)
 
 
-def beside(df: DataFrame, keys: list[str], least_or_sum: Callable[[str], Column], **columns: str) -> DataFrame:
-    """``df`` with the minimum or sum of each of ``columns`` over the rows of the same ``keys``, under the name it is given for.
-
-    A key's rows are split by a salt into ``SALTS`` parts: what a part needs is found from one row of each part, so no task
-    gets all rows of a key that many have. ``df`` stands three times in the plan: hand over a written table.
-    """
-    salted = df.withColumn("salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
-    parts = salted.groupBy(*keys, "salt").agg(*[least_or_sum(c).alias(f"part_{name}") for name, c in columns.items()])
-    whole = parts.groupBy(*keys).agg(*[least_or_sum(f"part_{name}").alias(name) for name in columns])
-    return salted.join(parts.select(*keys, "salt").join(whole, keys), [*keys, "salt"]).drop("salt")
-
-
 def crc_bucket(doc_id: Column, buckets: int) -> Column:
     """crc32 of the id's decimal text, modulo ``buckets``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % buckets
