@@ -10,8 +10,8 @@ from voxframe.llm import common
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a long, b long); root is the least node it reaches.
 
-    Each step is a grouped minimum, combined before the shuffle, and a join that the engine can split
-    where a node has many neighbours. Each round is written to the shared folder. The number of rounds grows with the
+    Each step is a grouped minimum, combined before the shuffle, and a join by node. A node's neighbours meet in
+    one task: nodes with many are not split. Each round is written to the shared folder. The number of rounds grows with the
     logarithm of the longest path. Loops and repeated edges change nothing; no edges give an empty table.
     """
     edges = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
