@@ -101,6 +101,37 @@ def test_conversion_to_members(spark, folder, tmp_path):
     assert all(r["data"] == want for r in files.load(spark, str(tmp_path / "out")).collect())
 
 
+def test_many_small_files_take_few_tasks(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    raw = nifti.encode(np.arange(8.0), [2, 2, 2], "uint8")
+    for k in range(2000):
+        (tmp_path / f"{k}.nii").write_bytes(raw)
+    for most, tasks in ((1024, 12), (100, 20)):
+        monkeypatch.setattr(files, "TASK_FILES", most)
+        rows = files.load_header(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+        assert len(rows) == tasks and sum(r["count"] for r in rows) == 2000 and max(r["count"] for r in rows) < 1.5 * 2000 / tasks
+    monkeypatch.setattr(files, "TASK_BYTES", 10 * len(raw))
+    assert files.load_header(spark, str(tmp_path)).rdd.getNumPartitions() == 200
+    # the listing goes through few tasks too
+    assert files.dealt(files.list_files(spark, str(tmp_path)), 0, 0)._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 2
+    done = files.convert_to_mgzip(spark, str(tmp_path), str(tmp_path / "out")).collect()
+    assert len({r["target"] for r in done}) == 2000 and all(r["written"] for r in done)
+    assert files.load(spark, str(tmp_path / "out")).where(F.col("data") == F.array(*[F.lit(float(k)) for k in range(8)])).count() == 2000
+
+
+def test_rows_share_batches():
+    import pyarrow as pa
+
+    kinds = pa.schema([("k", pa.int64()), ("data", pa.list_(pa.float64()))])
+    small, large = np.arange(3.0), np.zeros(files.BATCH_BYTES // 8)
+    rows = [(k, large if k in (300, 301) else small) for k in range(600)]
+    out = list(files.batched(iter(rows), kinds))
+    assert [b.num_rows for b in out] == [256, 44, 1, 1, 256, 42]
+    assert [(r["k"], r["data"]) for b in out for r in b.to_pylist()] == [(k, x.tolist()) for k, x in rows]
+    assert list(files.batched(iter([]), kinds)) == []
+
+
 def test_magic_of_members():
     raw = bytes(100)
     assert files.is_mgzip(gzip.compress(raw) * 2) and not files.is_mgzip(gzip.compress(raw)) and not files.is_mgzip(raw) and not files.is_mgzip(b"")

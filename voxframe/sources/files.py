@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.utils import is_remote
 
 from voxframe.errors import ConfigurationError
 from voxframe.functions.voxels import uniform
@@ -32,6 +33,12 @@ HEADER = "path string, version int, little_endian boolean, dtype string, shape a
 FILE_PATTERN = re.compile(r"\.nii(\.gz|\.mgz)?$", re.I)
 #: Bytes that hold any header, and those in which a second gzip member shows.
 HEAD_BYTES, MEMBER_BYTES = 544, 32 << 10
+#: Bytes and files of a task on average, at most.
+TASK_BYTES, TASK_FILES = 128 << 20, 1024
+#: Tasks that go through a listing at most; Spark counts a file as 4 MB at least, and so has a task for every 32 small ones.
+LISTING_TASKS = 64
+#: Rows of a record batch at most, and bytes at which it is full.
+BATCH_ROWS, BATCH_BYTES = 256, 1 << 20
 
 
 def list_files(spark: SparkSession, path: str | list[str], recursive: bool = True) -> DataFrame:
@@ -40,6 +47,35 @@ def list_files(spark: SparkSession, path: str | list[str], recursive: bool = Tru
     return files.where(F.col("path").rlike(f"(?i){FILE_PATTERN.pattern}")).select("path", "length")
 
 
+def dealt(files: DataFrame, count: int, size: int) -> DataFrame:
+    """Listed files, large and small alike, in as many tasks as their number, their bytes and the cores ask for; a task costs more than a hundred small files."""
+    cores = LISTING_TASKS if is_remote() else files.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, -(-count // TASK_FILES), -(-size // TASK_BYTES), min(count, 3 * cores))
+    # without a column between them, the optimizer drops the first of two changes of partitions
+    return files.coalesce(LISTING_TASKS).withColumn("_at", F.monotonically_increasing_id()).repartition(tasks)
+
+
+def batched(rows: Iterator[tuple], kinds: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows as record batches; one that is large ends its batch."""
+    held, size = [], 0
+
+    def made() -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds.types, strict=True)], names=kinds.names)
+
+    for row in rows:
+        own = sum(x.nbytes if isinstance(x, np.ndarray) else 64 for x in row)
+        if held and size + own > BATCH_BYTES:
+            yield made()
+            held, size = [], 0
+        held.append(row)
+        size += own
+        if size >= BATCH_BYTES or len(held) == BATCH_ROWS:
+            yield made()
+            held, size = [], 0
+    if held:
+        yield made()
+
+
 def opened(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a URI or plain path, and the path in it."""
     if "://" not in path and not path.startswith("file:"):
@@ -122,36 +158,36 @@ def boxed(data: Bytes, start: list[int], stop: list[int]) -> tuple[nifti.Header,
 
 
 def each_file(files: DataFrame, function: Callable[[str, Bytes, dict], tuple], schema: str) -> DataFrame:
-    """One row of ``schema`` from each file of (path, ...); the function gets the path, its bytes and the row's other columns."""
+    """One row of ``schema`` from each file of (path, length, ...); the function gets the path, its bytes and the row's other columns."""
     spark = files.sparkSession
     target = StructType.fromDDL(schema)
     kinds = to_arrow_schema(target)
     names = files.columns
     # a scheme that pyarrow can't open is read by Spark
-    first = files.select("path").first()
+    first, count, size = files.coalesce(LISTING_TASKS).agg(F.min("path"), F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
     known = True
     if first is not None:
         try:
-            opened(first["path"])
+            opened(first)
         except (pa.ArrowInvalid, OSError):
             known = False
     if not known:
         content = spark.read.format("binaryFile").load([r["path"] for r in files.select("path").distinct().toLocalIterator()]).select("path", "content")
         files = files.join(content, "path")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for row in batch.to_pylist():
                 path = row["path"]
                 if known:
                     system, inner = opened(path)
                     with system.open_input_file(inner) as handle:
-                        out = function(path, Bytes(handle), row)
+                        yield function(path, Bytes(handle), row)
                 else:
-                    out = function(path, Bytes(pa.PythonFile(pa.BufferReader(row["content"]))), row)
-                yield pa.record_batch([pa.array([x], t) for x, t in zip(out, kinds.types, strict=True)], names=kinds.names)
+                    yield function(path, Bytes(pa.PythonFile(pa.BufferReader(row["content"]))), row)
 
-    return files.select(*names, *(["content"] if not known else [])).mapInArrow(run, target)
+    files = dealt(files, count, size) if known else files.select(*names, "content")
+    return files.mapInArrow(lambda batches: batched(rows(batches), kinds), target)
 
 
 def load_header(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -263,9 +299,13 @@ def put(path: str, raw: bytes, overwrite: bool) -> bool:
     system, inner = opened(path)
     if not overwrite and system.get_file_info(inner).type != fs.FileType.NotFound:
         return False
-    system.create_dir(posixpath.dirname(inner), recursive=True)
     part = f"{posixpath.dirname(inner)}/.{posixpath.basename(inner)}.{uuid.uuid4().hex}"
-    with system.open_output_stream(part) as out:
+    try:
+        stream = system.open_output_stream(part)
+    except FileNotFoundError:  # the first file of a folder
+        system.create_dir(posixpath.dirname(inner), recursive=True)
+        stream = system.open_output_stream(part)
+    with stream as out:
         out.write(raw)
     system.move(part, inner)
     return True
@@ -280,8 +320,10 @@ def save(df: DataFrame, folder: str, name: str = "vec_id", compression: str = "n
     if compression not in SUFFIX:
         raise ValueError(f"unknown compression {compression}")
     geometry = [c for c in ("spacing", "affine") if c in df.columns]
+    schema = "path string, bytes long, written boolean"
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         from voxframe.operators.volume import arrays
 
         for batch in batches:
@@ -289,9 +331,9 @@ def save(df: DataFrame, folder: str, name: str = "vec_id", compression: str = "n
                 how = {c: batch.column(c)[k].as_py() for c in geometry}
                 raw = packed(nifti.encode(data, shape, dtype, version=2 if max(shape) > 32767 else 1, **how), compression)
                 path = f"{folder.rstrip('/')}/{own}{SUFFIX[compression]}"
-                yield pa.record_batch([pa.array([path]), pa.array([len(raw)], pa.int64()), pa.array([put(path, raw, overwrite)])], names=["path", "bytes", "written"])
+                yield path, len(raw), put(path, raw, overwrite)
 
-    return df.select(F.col(name).cast("string").alias("_name"), "shape", "data", *geometry).mapInArrow(write, "path string, bytes long, written boolean")
+    return df.select(F.col(name).cast("string").alias("_name"), "shape", "data", *geometry).mapInArrow(lambda batches: batched(write(batches), kinds), schema)
 
 
 def convert_to_mgzip(spark: SparkSession, path: str | list[str], folder: str | None = None, overwrite: bool = False) -> DataFrame:
